@@ -8,10 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ids, licenses, quality
+from . import chat, decontaminate, ids, jaccard, licenses, neighbours, quality
 from .common import crc_mod, table
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -37,8 +49,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_neighbours": op3_neighbours,
     "op4_chat": op4_chat,
     "op5_simple8b": op5_simple8b,
+    "op6_jaccard": op6_jaccard,
+    "op7_decontaminate": op7_decontaminate,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
 }

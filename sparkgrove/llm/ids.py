@@ -41,18 +41,21 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    need = np.zeros(n, np.int8)  # the narrowest selector group that holds the id
-    for width in sorted(set(WIDTHS)):
-        need[ids >= np.uint64(1 << width)] += 1
     order = sorted(set(WIDTHS))
+    need = np.zeros(n + max(COUNTS), np.int8)  # the narrowest width that holds the id; nothing after the end
+    for width in order:
+        need[:n] += ids >= np.uint64(1 << width)
+    # the widest need among the next c ids, for all c, from shorter spans
+    span = {1: need}
+    for c in sorted(COUNTS):
+        half = max(x for x in span if x >= c / 2) if c > 2 else 1
+        wide = span[half]
+        span[c] = np.maximum(wide[: len(wide) - (c - half)], wide[c - half :])
     best = np.full(n, ESCAPE, np.int8)
-    left = n - np.arange(n)
     for s in range(len(COUNTS) - 1, -1, -1):
-        bad = np.concatenate(([0], np.cumsum(need > order.index(WIDTHS[s]))))
-        stop = np.minimum(np.arange(n) + COUNTS[s], n)
-        fits = bad[stop] == bad[:n]
+        fits = span[COUNTS[s]][:n] <= order.index(WIDTHS[s])
         if s < 2:
-            fits &= left >= COUNTS[s]  # runs of zeros are never padded
+            fits[max(0, n - COUNTS[s] + 1) :] = False  # runs of zeros are never padded
         best[fits] = s
     step = np.array([*COUNTS, 1], np.int64)[best].tolist()
     places, at = [], 0
@@ -104,6 +107,11 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+@lru_cache(1)
+def worker_encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 @lru_cache(2)
 def _tokenizer(path: str):
     import os
@@ -117,37 +125,56 @@ def _tokenizer(path: str):
 #: UTF-8 of white space outside ASCII starts with one of these pairs; next to it pieces are not cut
 _ODD = np.zeros(65536, bool)
 _ODD[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]] = True
+_LEAD = _ODD.reshape(256, 256).any(1)
 _WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14), *range(28, 32)]] = True
+_WHITE[[32, *range(9, 14)]] = True
 
 
 class Encoder:
     """Encodes texts piece by piece: a piece is a run of white space with the run of
     other characters after it. The tokenizer's pattern never joins characters across
-    such a border, so each distinct piece is encoded once. Texts with white space
-    outside ASCII are encoded whole."""
+    such a border, so each distinct piece is encoded once; many are encoded as one
+    string and cut by the byte lengths of tokens. Texts with white space outside ASCII
+    are encoded whole. What is known stays for later tasks of the worker."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 1_500_000):
         self.tok, self.cache = _tokenizer(path), cache
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes[list(vocab.values())] = [len(t) for t in vocab]  # a character of a byte-level token is a byte
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.at, self.used = np.zeros(1 << 20, np.uint32), [0], 0
+        self.ids, self.bounds, self.used, self.n = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0, 0
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.n + len(pieces) + 1 > len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.bounds[self.n + 1 : self.n + 1 + len(pieces)] = self.used + ends
+        self.known.update(zip(pieces, range(self.n, self.n + len(pieces))))
+        self.used += len(ids)
+        self.n += len(pieces)
 
     def _add(self, pieces: list[bytes]) -> None:
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
-            for piece, enc in zip(part, self.tok.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                got = enc.ids
-                if self.used + len(got) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(got)), np.uint32)))
-                self.ids[self.used : self.used + len(got)] = got
-                self.used += len(got)
-                self.known[piece] = len(self.at) - 1
-                self.at.append(self.used)
+        white = b" \t\n\x0b\x0c\r"
+        joint = [p for p in pieces if p[0] in white and p[-1] not in white]
+        for k in range(0, len(joint), 1000):
+            part = joint[k : k + 1000]
+            ids = np.array(self.tok.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
+            self._keep(part, ids, np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p) for p in part])) + 1)
+        for p in pieces:
+            if not (p[0] in white and p[-1] not in white):
+                ids = self.tok.encode(p.decode(), add_special_tokens=False).ids
+                self._keep([p], np.array(ids, np.int64), np.array([len(ids)]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts, each closed by id 0, and the start of each text's."""
         if len(self.known) > self.cache:
-            self.known, self.at, self.used = {}, [0], 0
+            self._clear()
         data, at = joined_bytes(texts, " ")
         n = len(at) - 1
         white = _WHITE[data]
@@ -155,11 +182,12 @@ class Encoder:
         border[1:] = white[1:] & ~white[:-1]
         border[at[1:] - 1] = True  # the separator itself, dropped below
         border[at[:-1]] = True
-        pair = (data[:-1].astype(np.uint32) << np.uint32(8)) | data[1:]
+        lead = np.flatnonzero(_LEAD[data])  # the separator is ASCII, so a next byte is there
+        lead = lead[_ODD[(data[lead].astype(np.int64) << 8) | data[lead + 1]]]
         odd = np.zeros(n, bool)
-        odd[np.searchsorted(at, np.flatnonzero(_ODD[pair]), "right") - 1] = True
+        odd[np.searchsorted(at, lead, "right") - 1] = True
         starts = np.flatnonzero(border)
-        doc = np.searchsorted(at, starts, "right") - 1
+        doc = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, at)))
         keep = (starts != at[doc + 1] - 1) & ~odd[doc]
         ends = np.append(starts[1:], len(data))[keep]
         ends = np.minimum(ends, at[doc[keep] + 1] - 1)
@@ -176,8 +204,8 @@ class Encoder:
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_pylist()
         self._add([p for p in names if p not in self.known])
-        slot = np.fromiter((self.known[p] for p in names), np.int64, len(names))
-        bounds = np.array(self.at, np.int64)
+        slot = np.array(list(map(self.known.__getitem__, names)), np.int64)
+        bounds = self.bounds
         mine = slot[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
         first, count = bounds[mine], bounds[mine + 1] - bounds[mine]
         whole = {int(d): np.array(self.tok.encode(texts[int(d)].as_py(), add_special_tokens=False).ids, np.uint32) for d in np.flatnonzero(odd)}
@@ -214,7 +242,7 @@ def _blocks(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows of a partition -> blocks of consecutive documents."""
-        encoder, docs, kept, size, part, block = Encoder(path), [], [], 0, 0, 0
+        encoder, docs, kept, size, part, block = worker_encoder(path), [], [], 0, 0, 0
         for batch in slices(batches):
             ids, begin = encoder.encode(text_or_empty(batch.column("text")))
             part = batch.column("part")[0].as_py()

@@ -77,26 +77,24 @@ def paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     known = nodes.select("node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     ids = known.select(F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
     known = known.join(ids, "parent", "left").withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there")
-    # every node's pointer `up` leads `dist` steps towards the root; the sum covers the nodes passed
+    # every node's pointer `up` leads `dist` steps towards the root; the sum covers the nodes
+    # passed; nodes that have reached their root leave the rounds
+    cols = ("node", "up", "score", "dist", "top")
     state = written(known.select("node", F.col("parent").alias("up"), "score", F.lit(1).alias("dist"), F.col("node").alias("top")), "chat_ptr")
-    jumps = [state]
-    while state.where(F.col("up").isNotNull()).limit(1).count():
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("dist").alias("dist2"), F.col("top").alias("top2"))
-        state = written(state.join(above, "up", "left").select(
-            "node", F.col("up2").alias("up"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-            (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
-            F.coalesce("top2", "top").alias("top")), "chat_ptr")
-        jumps.append(state)
-        if len(jumps) > 40:  # 2^40 steps: only a cycle runs on
-            break
+    done, jumps = state.where(F.col("up").isNull()), []
+    while (active := state.where(F.col("up").isNotNull())).limit(1).count() and len(jumps) < 40:  # 2^40 steps: only a cycle runs on
+        jumps.append(active)
+        above = done.unionByName(active).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("dist").alias("dist2"), F.col("top").alias("top2"))
+        state = written(active.join(above, "up").select(
+            "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("top2").alias("top")), "chat_ptr")
+        done = done.unionByName(state.where(F.col("up").isNull()).select(*cols))
     parents = known.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
-    leaves = state.where(F.col("up").isNull()).join(parents, "node", "left_anti")
+    leaves = done.join(parents, "node", "left_anti")
     rank = F.row_number().over(Window.partitionBy("top").orderBy(F.desc("score"), "node"))
     found = leaves.withColumn("rank", rank).where(F.col("rank") <= per_tree).select(F.col("node").alias("leaf"), "node", (F.col("dist") - 1).alias("depth"))
     # parts of paths double: in round k all nodes below 2^k steps from the leaf are known
-    for k, jump in enumerate(jumps[:-1]):
-        step = jump.where(F.col("up").isNotNull()).select("node", "up")
+    for k, jump in enumerate(jumps):
+        step = jump.select("node", "up")
         more = found.join(step, "node").select("leaf", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
         found = written(found.unionByName(more), "chat_paths")
     released(spark)

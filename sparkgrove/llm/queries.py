@@ -8,10 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, ids, jaccard, licenses, neighbours, quality
+from . import chat, decontaminate, ids, jaccard, licenses, mixing, neighbours, quality, scoring
 from .common import crc_mod, table
 
 
+def op1_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 1)
+
+
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__words").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +58,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing_lm": op1_mixing_lm,
+    "op2_mixture": op2_mixture,
     "op3_neighbours": op3_neighbours,
     "op4_chat": op4_chat,
     "op5_simple8b": op5_simple8b,
@@ -59,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixture": f"WITH {mixing.oracle_ctes('documents')} SELECT doc_id, s_ AS source, l_ AS lang, o_ AS topic, w_ AS n_tokens, round(p_, 6) AS probability, kept_ AS kept FROM mix_kept",
     "op4_chat": r"""
 WITH src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')

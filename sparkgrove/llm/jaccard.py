@@ -15,7 +15,7 @@ spare bands make up for them, and documents with too many meet on the empty ones
 So no link is lost, whatever the data.
 
 Within a cell only pairs that still can change a component are searched: first every
-point against the cell's first, then, after joining components, pairs of different
+point against the cell's busiest, then, after joining components, pairs of different
 components. Equal sets are one point from the start.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
@@ -308,8 +308,10 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     def verified(pairs: DataFrame) -> DataFrame:
         return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified(num, den), "a long, b long"), "jac_links")
 
-    first = cells.groupBy("key").agg(F.min("sig").alias("a"))
-    stars = cells.join(first, "key").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
+    # the point that meets most others leads a cell: of a text and its copies that is the text
+    degree = cells.groupBy("sig").agg(F.count("*").alias("degree"))
+    first = cells.join(degree, "sig").groupBy("key").agg(F.max_by("sig", F.struct("degree", "sig")).alias("a"))
+    stars = cells.join(first, "key").where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
     stars = written(stars, "jac_pairs")
     links = verified(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded(num, den), "a long, b long"))
     comp = components(links)

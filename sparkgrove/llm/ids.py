@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, n_tasks, shared_dir, slices, text_or_empty
+from .common import joined_bytes, n_tasks, shared_dir, slices, text_or_empty, written
 
 #: ids per word and bits per id of each selector (fixed values of the format)
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -287,6 +287,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "part").select("part", "block", (F.col("part_base") + F.col("inside")).alias("base"))
+    placed = written(placed, "ids_placed")  # its size is known then, so the blocks are not dealt out where it is small
     return blocks.join(placed, ["part", "block"]).select("doc_ids", "offsets", "words", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

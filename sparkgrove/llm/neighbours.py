@@ -63,18 +63,18 @@ def curve_planes(dim: int, curves: int, seed: int = 11) -> list[tuple[np.ndarray
     return [(np.linalg.qr(rng.normal(size=(dim, d)))[0], rng.uniform(0, 1, d)) for _ in range(curves)]
 
 
-def _matrix(cells: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), "<f8").reshape(-1, dim)
+def _matrix(raw: bytes, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(-1, dim).astype(np.float64)
 
 
-def _local_points(query_every: int):
+def _local_points(query_every: int, kind: str):
     """Equal vectors of a batch as one row with their K+1 smallest ids and its queries' mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[bytes, set] = {}
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
-                x = np.array(v, "<f8") + 0.0
+                x = np.array(v, kind) + 0.0
                 if np.isfinite(x).all() and x.any():
                     by.setdefault(x.tobytes(), set()).add(i)
             yield pa.RecordBatch.from_arrays([
@@ -84,20 +84,22 @@ def _local_points(query_every: int):
     return run
 
 
-def _clean(vectors: DataFrame) -> tuple[DataFrame, int]:
+def _clean(vectors: DataFrame) -> tuple[DataFrame, int, str]:
+    # single-precision vectors travel as such
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dim = sizes[0]["n"] if sizes else 0
-    return rows.where((F.size("v") == dim) & (F.size("v") > 0)), dim
+    return rows.where((F.size("v") == dim) & (F.size("v") > 0)), dim, kind
 
 
-def _keys(planes, low, high):
+def _keys(planes, low, high, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("v").to_pylist(), len(planes[0][0]))
+            x = _matrix(b"".join(batch.column("v").to_pylist()), len(planes[0][0]), kind)
             for c, (plane, shift) in enumerate(planes):
                 # the box is twice as wide as the sample, so that any shift stays inside
                 at = (x @ plane - low[c]) / np.maximum(high[c] - low[c], 1e-12) / 2 + shift / 2
@@ -133,16 +135,27 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def _search(dim: int, k: int):
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The queries of blocks with their places on the curve."""
+    for batch in batches:
+        for x in batch.to_pylist():
+            ids, at = np.frombuffer(x["ids"], "<i8"), np.flatnonzero(np.frombuffer(x["asked"], bool))
+            size = len(x["v"]) // len(ids)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), x["curve"], np.int32)), pa.array(ids[at]), pa.array(at + x["start"]), pa.array([x["v"][i * size : (i + 1) * size] for i in at.tolist()], pa.binary())],
+                names=["curve", "q_rep", "q_rank", "q_v"])
+
+
+def _search(dim: int, k: int, w: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                qi, mask = np.frombuffer(x["q_ids"], "<i8"), np.frombuffer(x["q_asked"], bool)
-                rank = x["q_start"] + np.flatnonzero(mask)
-                qi, q = qi[mask], np.frombuffer(x["q_v"], "<f8").reshape(-1, dim)[mask]
-                ti, t = np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["v"], "<f8").reshape(-1, dim)
+                asks = x["asks"]
+                qi, rank = np.array([a["q_rep"] for a in asks]), np.array([a["q_rank"] for a in asks])
+                q = _matrix(b"".join(a["q_v"] for a in asks), dim, kind)
+                ti, t = np.frombuffer(x["ids"], "<i8"), _matrix(x["v"], dim, kind)
                 d2 = (q * q).sum(1)[:, None] + (t * t).sum(1)[None] - 2 * q @ t.T
-                far = (np.abs(rank[:, None] - (x["start"] + np.arange(len(ti)))[None]) > x["w"]) | (qi[:, None] == ti[None])
+                far = (np.abs(rank[:, None] - (x["start"] + np.arange(len(ti)))[None]) > w) | (qi[:, None] == ti[None])
                 d2[far] = np.inf
                 m = min(k + 6, len(ti))
                 near = np.argpartition(d2, m - 1, axis=1)[:, :m]
@@ -160,11 +173,11 @@ def search(vectors: DataFrame, query_every: int = 100, k: int = K, curves: int =
     divisible by query_every."""
     assert k <= K
     spark = vectors.sparkSession
-    rows, dim = _clean(vectors)
+    rows, dim, kind = _clean(vectors)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not dim:
         return empty
-    local = rows.mapInArrow(_local_points(query_every), "v binary, ids array<long>, asked boolean")
+    local = rows.mapInArrow(_local_points(query_every, kind), "v binary, ids array<long>, asked boolean")
     flat = local.select("v", "asked", F.explode("ids").alias("id")).distinct()
     points = flat.withColumn("asked", F.max("asked").over(Window.partitionBy("v"))).withColumn("nth", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= K + 1)
     points = points.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.max("asked").alias("asked")).withColumn("rep", F.col("ids")[0])
@@ -173,25 +186,24 @@ def search(vectors: DataFrame, query_every: int = 100, k: int = K, curves: int =
     if not n:
         return empty
     planes = curve_planes(dim, curves)
-    sample = _matrix([bytes(r["v"]) for r in points.select("v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()], dim)
+    sample = _matrix(b"".join(bytes(r["v"]) for r in points.select("v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()), dim, kind)
     low, high = zip(*((p.min(0), p.max(0)) for p in (sample @ plane for plane, _ in planes)))
-    keyed = points.select("rep", "asked", "v").mapInArrow(_keys(planes, low, high), "curve int, key long, rep long, asked boolean, v binary")
-    keyed = written(keyed, "ann_keys")
+    keyed = points.select("rep", "asked", "v").mapInArrow(_keys(planes, low, high, kind), "curve int, key long, rep long, asked boolean, v binary")
     ordered = keyed.repartitionByRange(n_tasks(spark), "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep").withColumn("part", F.spark_partition_id())
     blocks = written(ordered.mapInArrow(_pack, BLOCK_SCHEMA), "ann_blocks")
     # places of blocks on their curve: few rows, one for each 1,024 keys
     before = Window.partitionBy("curve").orderBy("part", "block")
     w = max(BLOCK // 8, int(n * window / 2))
-    meta = blocks.select("curve", "part", "block", "n", "n_asked").withColumn("start", F.sum("n").over(before) - F.col("n"))
+    meta = written(blocks.select("curve", "part", "block", "n", "n_asked").withColumn("start", F.sum("n").over(before) - F.col("n")), "ann_places")
+    placed = blocks.drop("n", "n_asked").join(meta, ["curve", "part", "block"])
+    # queries go to the blocks within w places, a block's queries at once
     cell = lambda x: F.floor(x / F.lit(w)).cast("long")
-    asked = meta.where(F.col("n_asked") > 0).select("curve", F.col("part").alias("q_part"), F.col("block").alias("q_block"), F.col("start").alias("q_start"), (F.col("start") + F.col("n")).alias("q_end"))
-    asked = asked.withColumn("cell", F.explode(F.sequence(cell(F.col("q_start") - w - BLOCK), cell(F.col("q_end") + w))))
-    pairs = asked.join(meta.withColumn("cell", cell(F.col("start"))).drop("n_asked"), ["curve", "cell"])
-    pairs = pairs.where((F.col("start") < F.col("q_end") + w) & (F.col("start") + F.col("n") > F.col("q_start") - w)).drop("cell", "n", "q_end")
-    asked_data = blocks.where(F.col("n_asked") > 0).select("curve", F.col("part").alias("q_part"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("asked").alias("q_asked"), F.col("v").alias("q_v"))
-    data = blocks.select("curve", "part", "block", "ids", "v")
-    work = pairs.join(asked_data, ["curve", "q_part", "q_block"]).join(data, ["curve", "part", "block"]).withColumn("w", F.lit(w))
-    found = work.mapInArrow(_search(dim, k), "q_rep long, rep long, score double").groupBy("q_rep", "rep").agg(F.min("score").alias("score"))
+    asked = placed.where("n_asked > 0").select("curve", "ids", "asked", "v", "start").mapInArrow(_asked, "curve int, q_rep long, q_rank long, q_v binary")
+    asked = asked.withColumn("cell", F.explode(F.sequence(cell(F.col("q_rank") - w - BLOCK), cell(F.col("q_rank") + w))))
+    near_blocks = asked.join(meta.withColumn("cell", cell(F.col("start"))), ["curve", "cell"]).where((F.col("start") <= F.col("q_rank") + w) & (F.col("start") + F.col("n") > F.col("q_rank") - w))
+    asks_of = written(near_blocks.groupBy("curve", "part", "block").agg(F.collect_list(F.struct("q_rep", "q_rank", "q_v")).alias("asks")), "ann_asks")
+    work = placed.select("curve", "part", "block", "ids", "v", "start").join(asks_of, ["curve", "part", "block"])
+    found = work.mapInArrow(_search(dim, k, w, kind), "q_rep long, rep long, score double").groupBy("q_rep", "rep").agg(F.min("score").alias("score"))
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("q_rep").orderBy("score", "rep"))).where(F.col("nth") <= k).drop("nth")
     # back from points to rows: all ids of the near points, and the other ids of the query's own
     ids_of = points.select("rep", "ids")
@@ -199,13 +211,15 @@ def search(vectors: DataFrame, query_every: int = 100, k: int = K, curves: int =
     near = best.unionByName(own).join(ids_of, "rep").select("q_rep", "score", F.explode("ids").alias("vec_id"))
     near = near.withColumn("nth", F.row_number().over(Window.partitionBy("q_rep").orderBy("score", "vec_id"))).where(F.col("nth") <= k + 1).select("q_rep", "score", "vec_id")
     near = near.groupBy("q_rep").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))
-    asks = rows.where(F.col("vec_id") % query_every == 0).mapInArrow(_asks, "query_id long, v binary").distinct()
+    asks = rows.where(F.col("vec_id") % query_every == 0).mapInArrow(_asks(kind), "query_id long, v binary").distinct()
     asks = asks.join(points.where("asked").select("v", F.col("rep").alias("q_rep")), "v").select("query_id", "q_rep")
     out = asks.join(near, "q_rep").select("query_id", F.slice(F.array_sort(F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))), 1, k).alias("near"))
     return out.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        v = [np.array(x, "<f8") + 0.0 for x in batch.column("v").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in v], pa.binary())], names=["query_id", "v"])
+def _asks(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([(np.array(x, kind) + 0.0).tobytes() for x in batch.column("v").to_pylist()], pa.binary())], names=["query_id", "v"])
+
+    return run

@@ -3,7 +3,9 @@ column hygiene and vectorised word splitting on Arrow buffers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -35,16 +37,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     is cut, and a lost executor costs no more than a read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grove/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._grove_path = path
+    return out
+
+
+def erased(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._grove_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

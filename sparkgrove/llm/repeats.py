@@ -23,14 +23,14 @@ empty table gives no rows; further columns are ignored; texts are never cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, joined_bytes, n_tasks, released, runs, slices, text_or_empty, written
+from .common import RollingHash, erased, joined_bytes, n_tasks, released, runs, slices, text_or_empty, written
 
 LENGTH, Q = 200, 11
 V = Q * Q + Q + 1
@@ -226,17 +226,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     released(spark)
     with_answers = blocks.select("bid", "offsets", "data").join(_collected(answers), "bid", "left")
     segments = written(with_answers.mapInArrow(_segments(length), "bid long, windows long, starts binary, sizes binary, data binary"), "rep_segments")
+    erased(answers)
     released(spark)
     size = segments.agg(F.sum("windows").alias("w")).first()["w"] or 0
     bytes_ = blocks.agg(F.sum(F.length("data")).alias("b")).first()["b"] or 0
     passes = max(1, -(-int(size) // max(1, int(bytes_ * PASS_SHARE))))
-    found = None
+    tables = []
     for p in range(passes):
         some = segments.mapInArrow(_windows(length, p * total, (p + 1) * total, passes * total), sent).groupBy("bucket").applyInArrow(_twice, _ANSWER)
-        some = written(some, "rep_windows")
-        found = some if found is None else found.unionByName(some)
+        tables.append(written(some, "rep_windows"))
+        del some
         released(spark)
+    found = reduce(DataFrame.unionByName, tables)
     spans = segments.join(_collected(found), "bid", "left").mapInArrow(_spans(length), "bid long, a binary, b binary")
     spans = written(spans, "rep_spans")
+    erased(segments, *tables)
     released(spark)
     return blocks.join(spans, "bid", "left").select("doc_ids", "offsets", "data", "a", "b").mapInArrow(_removed, RESULT)

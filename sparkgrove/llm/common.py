@@ -69,7 +69,13 @@ def n_tasks(spark: SparkSession) -> int:
 def text_or_empty(arr: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    return pc.fill_null(arr.cast(pa.large_string()), "")
+    arr = pc.fill_null(arr.cast(pa.large_string()), "")
+    # Arrow's case kernels misread arrays whose first offset isn't 0, as slices have
+    _, offsets, data = arr.buffers()
+    at = np.frombuffer(offsets, np.int64)[arr.offset : arr.offset + len(arr) + 1] if offsets is not None and len(offsets) else np.zeros(1, np.int64)
+    if at[0]:
+        arr = pa.LargeStringArray.from_buffers(len(arr), pa.py_buffer(at - at[0]), data.slice(int(at[0])))
+    return arr
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -117,6 +123,17 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs(~_SPACE[data])
 
 
+def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in lower case (A-Z), and where each text's begin."""
+    data, at = joined_bytes(texts, " ")
+    low = lower_bytes(data)
+    start, end = word_spans(low)
+    flat = np.ascontiguousarray(low[~_SPACE[low]])
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(end - start)))
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(flat))
+    return words, np.searchsorted(start, at)
+
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 

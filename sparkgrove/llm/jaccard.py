@@ -295,8 +295,13 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     all_points = written(rows.mapInArrow(_points(k), "doc_id long, n long, sig long, point binary"), "jac_points")
     buckets = 4 * n_tasks(spark)
     cells = rows.where("doc_id IS NOT NULL").mapInArrow(_bands(k, num, den, buckets), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_collisions, "key long, sig long")
-    cells = written(cells, "jac_cells")
+    all_cells = written(cells, "jac_cells")
     released(spark)
+    # close texts meet in many bands: of cells with the same points one is enough
+    same = all_cells.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"))
+    degree = all_cells.groupBy("sig").agg(F.count("*").alias("degree"))
+    cells = all_cells.join(same.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    cells = written(cells, "jac_distinct_cells")
     known = all_points.where("doc_id IS NOT NULL AND n > 0")
     met = cells.select("sig").distinct()
     points = written(known.join(met, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "jac_met")
@@ -309,7 +314,6 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified(num, den), "a long, b long"), "jac_links")
 
     # the point that meets most others leads a cell: of a text and its copies that is the text
-    degree = cells.groupBy("sig").agg(F.count("*").alias("degree"))
     first = cells.join(degree, "sig").groupBy("key").agg(F.max_by("sig", F.struct("degree", "sig")).alias("a"))
     stars = cells.join(first, "key").where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
     stars = written(stars, "jac_pairs")

@@ -171,3 +171,59 @@ def search_distributed(hist: DataFrame, finder: Finder, totals: dict[int, np.nda
         if r["gain"] > out[r["node"]].gain:
             out[r["node"]] = Split(r["gain"], r["fidx"], r["bin"], r["dl"], tuple(r["cats"]), np.array(r["l"]), np.array(r["r"]), r["is_cat"])
     return out
+
+
+def scan_splits(hist: DataFrame, totals: DataFrame, reg_lambda: float = 1.0, reg_alpha: float = 0.0, min_child_weight: float = 1.0, monotone: dict[int, int] | None = None) -> DataFrame:
+    """All numeric candidates by running sums in Spark alone: hist(node, fidx, bin, g, h) and
+    totals(node, tg, th) -> node, fidx, bin, dir (0: missing right, 1: missing left), gl, hl,
+    gr, hr, gain, ok."""
+    from pyspark.sql import Window
+
+    from ..functions.scalar import leaf_gain, leaf_weight
+
+    w = Window.partitionBy("node", "fidx")
+    up = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    d = hist.join(totals, "node").withColumns({"cg": F.sum("g").over(up), "ch": F.sum("h").over(up), "sg": F.sum("g").over(w), "sh": F.sum("h").over(w), "nb": F.max("bin").over(w)})
+    fwd = d.select("node", "fidx", "bin", F.lit(0).alias("dir"), F.col("cg").alias("gl"), F.col("ch").alias("hl"), (F.col("tg") - F.col("cg")).alias("gr"), (F.col("th") - F.col("ch")).alias("hr"), "tg", "th")
+    back = d.where((F.abs(F.col("sh") - F.col("th")) > 1e-9) & (F.col("bin") < F.col("nb"))).select("node", "fidx", "bin", F.lit(1).alias("dir"), (F.col("tg") - F.col("sg") + F.col("cg")).alias("gl"), (F.col("th") - F.col("sh") + F.col("ch")).alias("hl"), (F.col("sg") - F.col("cg")).alias("gr"), (F.col("sh") - F.col("ch")).alias("hr"), "tg", "th")
+    c = fwd.unionAll(back)
+    gain = leaf_gain("gl", "hl", reg_lambda, reg_alpha) + leaf_gain("gr", "hr", reg_lambda, reg_alpha) - leaf_gain("tg", "th", reg_lambda, reg_alpha)
+    ok = (F.col("hl") > 0) & (F.col("hr") > 0) & (F.col("hl") >= min_child_weight) & (F.col("hr") >= min_child_weight)
+    for f, m in (monotone or {}).items():
+        wl, wr = leaf_weight("gl", "hl", reg_lambda, reg_alpha), leaf_weight("gr", "hr", reg_lambda, reg_alpha)
+        ok &= (F.col("fidx") != f) | ((wl <= wr) if m > 0 else (wl >= wr))
+    return c.withColumns({"gain": gain, "ok": ok}).drop("tg", "th")
+
+
+def best_splits(candidates: DataFrame) -> DataFrame:
+    """The best valid candidate of each node: larger gain, lower feature, forward first,
+    then scan order (bins up forwards, down backwards)."""
+    from pyspark.sql import Window
+
+    scan = F.when(F.col("dir") == 0, F.col("bin")).otherwise(-F.col("bin"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc(F.round("gain", 6)), "fidx", "dir", scan))
+    return candidates.where("ok").withColumn("nth", nth).where("nth = 1").drop("nth", "ok")
+
+
+def subtract(parent: DataFrame, built: DataFrame) -> DataFrame:
+    """A sibling's histogram: the parent's minus the built child's."""
+    b = built.select("fidx", "bin", F.col("g").alias("bg"), F.col("h").alias("bh"))
+    return parent.join(b, ["fidx", "bin"], "left").select("fidx", "bin", (F.col("g") - F.coalesce("bg", F.lit(0.0))).alias("g"), (F.col("h") - F.coalesce("bh", F.lit(0.0))).alias("h"))
+
+
+def categorical_scan(hist: DataFrame, totals: DataFrame, reg_lambda: float = 1.0, onehot: bool = False) -> DataFrame:
+    """hist(node, fidx, bin, g, h) of categories -> candidates: `bin` is the rank in order of
+    leaf weight (one-hot: the category), categories up to it go right, missing left."""
+    from pyspark.sql import Window
+
+    from ..functions.scalar import leaf_gain, leaf_weight
+
+    d = hist.where("h > 0").join(totals, "node")
+    if onehot:
+        d = d.withColumns({"gr": F.col("g"), "hr": F.col("h"), "k": F.col("bin")})
+    else:
+        order = Window.partitionBy("node", "fidx").orderBy(F.round(leaf_weight("g", "h", reg_lambda), 9), "bin")
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumns({"k": F.row_number().over(order), "gr": F.sum("g").over(upto), "hr": F.sum("h").over(upto)})
+    gain = leaf_gain(F.col("tg") - F.col("gr"), F.col("th") - F.col("hr"), reg_lambda) + leaf_gain("gr", "hr", reg_lambda) - leaf_gain("tg", "th", reg_lambda)
+    return d.select("node", "fidx", "bin", "k", "gr", "hr", F.when(F.col("th") - F.col("hr") > 0, gain).alias("gain"))

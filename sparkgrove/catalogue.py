@@ -370,7 +370,7 @@ def _lines(spark, d):
     return li.select("l_quantity", "l_discount", F.when(F.col("l_partkey") % 7 != 0, F.col("l_tax")).alias("l_tax"), (F.col("l_returnflag") == "R").cast("double").alias("label"), F.lit(1.0).alias("weight"))
 
 
-_LB = f"l AS (SELECT l_quantity, l_discount, {_TAXM} AS l_tax, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y FROM lineitem), x AS (SELECT 0 AS fidx, l_quantity AS v, y FROM l UNION ALL SELECT 1, l_discount, y FROM l UNION ALL SELECT 2, l_tax, y FROM l), a AS (SELECT fidx, v, count(*) AS n, sum(0.5 - y) AS g, 0.25 * count(*) AS h FROM x WHERE v IS NOT NULL GROUP BY ALL), bn AS (SELECT *, CAST(row_number() OVER (PARTITION BY fidx ORDER BY v) - 1 AS INTEGER) AS bin, lead(v) OVER (PARTITION BY fidx ORDER BY v) AS nxt, max(v) OVER (PARTITION BY fidx) AS top FROM a)"
+_LB = f"l AS (SELECT l_quantity, l_discount, {_TAXM} AS l_tax, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y FROM lineitem), x AS (SELECT 0 AS fidx, l_quantity AS v, y FROM l UNION ALL SELECT 1, l_discount, y FROM l UNION ALL SELECT 2, l_tax, y FROM l), a AS (SELECT fidx, v, count(*) AS n, sum(0.5 - y) AS g, CAST(0.25 AS DOUBLE) * count(*) AS h FROM x WHERE v IS NOT NULL GROUP BY ALL), bn AS (SELECT *, CAST(row_number() OVER (PARTITION BY fidx ORDER BY v) - 1 AS INTEGER) AS bin, lead(v) OVER (PARTITION BY fidx ORDER BY v) AS nxt, max(v) OVER (PARTITION BY fidx) AS top FROM a)"
 
 
 @query("cuts_exact", f"WITH {_LB} SELECT fidx, bin, round(coalesce(nxt, top + abs(top) + 1e-5), 6) AS cut FROM bn")
@@ -410,19 +410,19 @@ def _hist(spark, d, node=None):
 query("hist_root", f"WITH {_LB} SELECT fidx, bin, g, h FROM bn")(lambda spark, d: _hist(spark, d)[0].select("fidx", "bin", "g", "h"))
 
 
-@query("hist_level1", f"WITH l AS (SELECT CASE WHEN l_quantity < 24 THEN 1 ELSE 2 END AS node, l_discount AS v, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y FROM lineitem), k AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS bin FROM (SELECT DISTINCT v FROM l)) SELECT node, bin, sum(0.5 - y) AS g, 0.25 * count(*) AS h FROM l JOIN k USING (v) GROUP BY ALL")
+@query("hist_level1", f"WITH l AS (SELECT CASE WHEN l_quantity < 24 THEN 1 ELSE 2 END AS node, l_discount AS v, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y FROM lineitem), k AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS bin FROM (SELECT DISTINCT v FROM l)) SELECT node, bin, sum(0.5 - y) AS g, CAST(0.25 AS DOUBLE) * count(*) AS h FROM l JOIN k USING (v) GROUP BY ALL")
 def _hist_level1(spark, d):
     return _hist(spark, d, F.when(F.col("l_quantity") < 24, 1).otherwise(2))[0].where("fidx = 1").select("node", "bin", "g", "h")
 
 
-@query("hist_subtract", f"WITH {_LB}, q AS (SELECT fidx, v, sum(0.5 - y) AS g, 0.25 * count(*) AS h FROM (SELECT 0 AS fidx, l_quantity AS v, y FROM l WHERE l_quantity >= 24 UNION ALL SELECT 1, l_discount, y FROM l WHERE l_quantity >= 24 UNION ALL SELECT 2, l_tax, y FROM l WHERE l_quantity >= 24) GROUP BY ALL) SELECT bn.fidx, bin, coalesce(q.g, 0) AS g, coalesce(q.h, 0) AS h FROM bn LEFT JOIN q ON q.fidx = bn.fidx AND q.v = bn.v")
+@query("hist_subtract", f"WITH {_LB}, q AS (SELECT fidx, v, sum(0.5 - y) AS g, CAST(0.25 AS DOUBLE) * count(*) AS h FROM (SELECT 0 AS fidx, l_quantity AS v, y FROM l WHERE l_quantity >= 24 UNION ALL SELECT 1, l_discount, y FROM l WHERE l_quantity >= 24 UNION ALL SELECT 2, l_tax, y FROM l WHERE l_quantity >= 24) GROUP BY ALL) SELECT bn.fidx, bin, coalesce(q.g, 0) AS g, coalesce(q.h, 0) AS h FROM bn LEFT JOIN q ON q.fidx = bn.fidx AND q.v = bn.v")
 def _hist_subtract(spark, d):
     parent = _hist(spark, d)[0]
     return splits.subtract(parent, _hist(spark, d, F.when(F.col("l_quantity") < 24, 1).otherwise(2))[0].where("node = 1"))
 
 
 _GAIN = lambda g, h: f"({g}) * ({g}) / (({h}) + 1)"
-_CAND = f"""{_LB}, tt AS (SELECT sum(0.5 - y) AS tg, 0.25 * count(*) AS th FROM l), cm AS (SELECT *, sum(g) OVER (PARTITION BY fidx ORDER BY bin) AS cg, sum(h) OVER (PARTITION BY fidx ORDER BY bin) AS ch, sum(g) OVER (PARTITION BY fidx) AS sg, sum(h) OVER (PARTITION BY fidx) AS sh, max(bin) OVER (PARTITION BY fidx) AS nb FROM bn, tt),
+_CAND = f"""{_LB}, tt AS (SELECT sum(0.5 - y) AS tg, CAST(0.25 AS DOUBLE) * count(*) AS th FROM l), cm AS (SELECT *, sum(g) OVER (PARTITION BY fidx ORDER BY bin) AS cg, sum(h) OVER (PARTITION BY fidx ORDER BY bin) AS ch, sum(g) OVER (PARTITION BY fidx) AS sg, sum(h) OVER (PARTITION BY fidx) AS sh, max(bin) OVER (PARTITION BY fidx) AS nb FROM bn, tt),
  cd AS (SELECT fidx, bin, 0 AS dir, cg AS gl, ch AS hl, tg - cg AS gr, th - ch AS hr, tg, th FROM cm UNION ALL SELECT fidx, bin, 1, tg - sg + cg, th - sh + ch, sg - cg, sh - ch, tg, th FROM cm WHERE abs(sh - th) > 1e-9 AND bin < nb),
  sp AS (SELECT *, {_GAIN('gl', 'hl')} + {_GAIN('gr', 'hr')} - {_GAIN('tg', 'th')} AS gain FROM cd WHERE hl >= 1 AND hr >= 1)"""
 
@@ -434,7 +434,7 @@ query("split_best", f"WITH {_CAND} SELECT fidx, bin, dir, gl, hl, gr, hr, round(
 query("split_monotone", f"WITH {_CAND} SELECT fidx, bin, dir, round(gain, 6) AS gain FROM sp WHERE fidx <> 0 OR -gl / (hl + 1) <= -gr / (hr + 1) {_BEST}")(
     lambda spark, d: splits.best_splits(splits.scan_splits(*_hist(spark, d), monotone={0: 1})).select("fidx", "bin", "dir", r6("gain").alias("gain")))
 
-_CATS = "c AS (SELECT CAST(l_suppkey % 12 AS INTEGER) AS bin, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y FROM lineitem), hh AS (SELECT bin, sum(0.5 - y) AS g, 0.25 * count(*) AS h, sum(sum(0.5 - y)) OVER () AS tg, sum(0.25 * count(*)) OVER () AS th FROM c GROUP BY bin)"
+_CATS = "c AS (SELECT CAST(l_suppkey % 12 AS INTEGER) AS bin, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS y FROM lineitem), hh AS (SELECT bin, sum(0.5 - y) AS g, CAST(0.25 AS DOUBLE) * count(*) AS h, sum(sum(0.5 - y)) OVER () AS tg, sum(CAST(0.25 AS DOUBLE) * count(*)) OVER () AS th FROM c GROUP BY bin)"
 
 
 def _cat_hist(spark, d):

@@ -149,8 +149,7 @@ def _grown(name: str, base: int, n: int) -> np.ndarray:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
@@ -171,3 +170,8 @@ class RollingHash:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def all(self, size: int) -> np.ndarray:
+        """The hashes of all substrings of one size, by start."""
+        n = len(self.sums) - size
+        return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size))

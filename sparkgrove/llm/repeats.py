@@ -34,7 +34,7 @@ from .common import RollingHash, erased, joined_bytes, n_tasks, released, runs,
 
 LENGTH, Q = 200, 11
 V = Q * Q + Q + 1
-PASS_SHARE = 1 / 16  # windows of a pass, in bytes of text
+PASS_SHARE = 1 / 7  # windows of a pass, in bytes of text
 
 
 @lru_cache(1)
@@ -78,11 +78,23 @@ def _cover_places(at: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def _new(ranked: np.ndarray) -> np.ndarray:
+    """Marks the first of each run of equal values."""
+    mark = np.ones(len(ranked), bool)
+    mark[1:] = ranked[1:] != ranked[:-1]
+    return mark
+
+
 def _sent(h: np.ndarray, bid: int, first: int, last: int, total: int):
     """Distinct hashes of the buckets first..last-1 of total, a row for each bucket."""
-    distinct = np.unique(h)
     width = (1 << 64) // total
     edges = np.array([min(k * width, (1 << 64) - 1) for k in range(first, last + 1)], np.uint64)
+    if first:
+        h = h[h >= edges[0]]
+    if last < total:
+        h = h[h < edges[-1]]
+    distinct = np.sort(h)
+    distinct = distinct[_new(distinct)]
     cut = np.searchsorted(distinct, edges)
     if last == total:
         cut[-1] = len(distinct)
@@ -95,7 +107,8 @@ def _twice(t: pa.Table) -> pa.Table:
     """Of a bucket: for each block a bit for each of its hashes, set if another block has it."""
     parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"].combine_chunks()]
     h = np.sort(np.concatenate(parts))
-    more = np.unique(h[1:][h[1:] == h[:-1]])
+    more = h[1:][h[1:] == h[:-1]]
+    more = more[_new(more)]
     bits = []
     for x in parts:
         at = np.minimum(np.searchsorted(more, x), max(0, len(more) - 1))
@@ -105,11 +118,17 @@ def _twice(t: pa.Table) -> pa.Table:
 
 def _answered(h: np.ndarray, answers: list[dict]) -> np.ndarray:
     """Whether each hash of a block occurs twice, in the block or beyond it."""
-    distinct, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(h)
+    ranked = h[order]
+    new = _new(ranked)
     bits = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]) for x in sorted(answers, key=lambda x: x["bucket"])]
     flags = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
-    assert len(flags) == len(distinct)
-    return (flags | (count > 1))[inverse]
+    assert len(flags) == new.sum()
+    first = np.flatnonzero(new)
+    flags |= np.diff(np.append(first, len(h))) > 1
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat(flags, np.diff(np.append(first, len(h))))
+    return out
 
 
 _ANSWER = "bid long, bucket int, n int, bits binary"
@@ -153,9 +172,18 @@ def _segments(length: int):
 def _window_hashes(x: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Start in the block and hash of each window of a row of segments."""
     starts, sizes = np.frombuffer(x["starts"], "<i8"), np.frombuffer(x["sizes"], "<i8")
-    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    inside = np.repeat(np.cumsum(sizes + length - 1) - (sizes + length - 1), sizes) + step
-    return np.repeat(starts, sizes) + step, RollingHash(np.frombuffer(x["data"], np.uint8), 3).of(inside, inside + length)
+    data = np.frombuffer(x["data"], np.uint8)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    # runs lie one behind the other: windows that reach into the next run are passed over
+    reach = sizes + length - 1
+    end = np.cumsum(reach)
+    own = np.zeros(len(data) + 1, np.int8)
+    own[end - reach] += 1
+    own[end - length + 1] -= 1
+    inside = np.flatnonzero(np.cumsum(own[: len(data) - length + 1], dtype=np.int8))
+    places = inside + np.repeat(starts - (end - reach), sizes)
+    return places, RollingHash(data, 3).all(length)[inside]
 
 
 def _windows(length: int, first: int, last: int, total: int):

@@ -87,3 +87,13 @@ def test_sampling(spark):
     kept = mixing.sample(d, rate=0.6)
     assert kept.columns == d.columns and kept.count() == m["__kept"].sum()
     assert mixing.sample(d.limit(0)).count() == 0
+
+
+def test_experts_are_distributions():
+    rng = np.random.default_rng(2)
+    common = np.array([0.2, 0.1, 0.05])
+    counts = np.zeros((scoring.MARKERS + 1, scoring.TOP + 2))
+    counts[:, :3], counts[:, scoring.TOP], counts[:, scoring.TOP + 1] = rng.integers(0, 50, (scoring.MARKERS + 1, 3)), 30, 4
+    ratio, prior = scoring.experts(counts, common)
+    assert (np.exp(ratio) * np.append(common, 0.65)[:, None]).sum(0) == pytest.approx(np.ones(scoring.MARKERS + 1))
+    assert np.exp(prior).sum() == pytest.approx(1)

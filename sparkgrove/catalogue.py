@@ -17,7 +17,7 @@ from .functions import scalar as S
 from .operators import cuts as C
 from .operators import metrics as M
 from .operators import objectives as O
-from .operators import sampling, splits
+from .operators import sampling, splits, stats
 from .plans import linear as L
 from .plans.model import Model, Node, Tree
 from .plans.train import cv, train
@@ -660,3 +660,83 @@ def _stream(spark, d):
     m = Model(P.resolve({}), ["value"], [0.1])
     m.trees = [Tree([Node(left=1, right=2, fidx=0, cond=50.0, leaf=[0.0]), Node(parent=0, leaf=[0.2]), Node(parent=0, leaf=[-0.3])])]
     return score_available(spark, f"{d}/events.parquet", m).select("event_id", r6("m0").alias("margin"))
+
+
+# ---- statistics, ranks, leaves, extension points
+
+
+def _real_rows(spark, d):
+    return t(spark, d, "orders").select(_k().alias("row_id"), _LABELS["real"][0]().alias("label"), _w().alias("weight"), _m().alias("m0"), F.col("o_custkey").alias("qid"))
+
+
+query("quantile_interpolated", "WITH s AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS k, count(*) OVER () AS n FROM orders), q AS (SELECT max(n) AS n, 0.3 * (max(n) + 1) AS x FROM s) SELECT round((SELECT v FROM s WHERE k = floor(x)) + (x - floor(x)) * ((SELECT v FROM s WHERE k = floor(x) + 1) - (SELECT v FROM s WHERE k = floor(x))), 4) AS value FROM q")(
+    lambda spark, d: stats.quantile(t(spark, d, "orders"), F.col("o_totalprice"), 0.3).select(r6("value", 4).alias("value")))
+query("quantile_weighted", f"WITH g AS (SELECT o_totalprice AS v, sum({_SQL_W}) AS w FROM orders GROUP BY 1), c AS (SELECT v, sum(w) OVER (ORDER BY v) AS cum, sum(w) OVER () AS tot FROM g) SELECT min(v) AS value FROM c WHERE cum >= 0.7 * tot")(
+    lambda spark, d: stats.weighted_quantile(t(spark, d, "orders"), F.col("o_totalprice"), _w(), 0.7))
+query("residual_scale", f"SELECT round(pow(sum(w * sqrt(abs(m - y))) / sum(w), 2), 6) AS scale FROM ({_base('real')})")(
+    lambda spark, d: stats.residual_scale(_real_rows(spark, d), F.col("m0") - F.col("label"), F.col("weight")).select(r6("scale").alias("scale")))
+query("count_classes", "SELECT count(DISTINCT o_orderpriority) AS classes FROM orders")(lambda spark, d: stats.count_classes(t(spark, d, "orders"), "o_orderpriority"))
+query("rank_topk", f"SELECT row_id AS event_id, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, row_id) AS rk FROM ({_EV.format(rel=4)})) WHERE rk <= 3")(
+    lambda spark, d: stats.ranked(_events(spark, d).withColumnRenamed("m0", "score"), 3).select(F.col("row_id").alias("event_id"), "rk"))
+query("label_order", f"SELECT o_orderkey, row_number() OVER (ORDER BY abs({_COX_Y}), o_orderkey) AS place FROM orders")(
+    lambda spark, d: t(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.orderBy(F.abs(F.expr(_COX_Y)), "o_orderkey")).alias("place")))
+query("sorted_quantiles", f"SELECT o_orderkey, round(least({_SQL_M}, 0.5 * {_SQL_M}, 0.3 - {_SQL_M}), 6) + 0.0 AS q0, round(greatest({_SQL_M}, 0.5 * {_SQL_M}, 0.3 - {_SQL_M}), 6) AS q2 FROM orders")(
+    lambda spark, d: (lambda q: t(spark, d, "orders").select("o_orderkey", (r6(q[0]) + 0.0).alias("q0"), r6(q[2]).alias("q2")))(O.get("reg:quantileerror", P.resolve({"quantile_alpha": [0.1, 0.5, 0.9]})).link([_m(), _m() * 0.5, F.lit(0.3) - _m()])))
+query("partition_rows", f"SELECT CASE WHEN l_quantity < 20 THEN 1 WHEN l_tax IS NULL OR l_tax < 0.04 THEN 3 ELSE 4 END AS node, count(*) AS rows FROM ({_FR}) GROUP BY 1")(
+    lambda spark, d: fixed_model().predict_leaf(_fixed_rows(spark, d)).groupBy(F.col("leaf")[0].alias("node")).agg(F.count("*").alias("rows")))
+
+
+@query("leaf_lookup", f"SELECT l_orderkey, l_partkey, CAST({_T1} AS DOUBLE) AS value FROM ({_FR})")
+def _leaf_lookup(spark, d):
+    m = fixed_model()
+    leaves = m.node_table(spark).where("tree = 0 AND left < 0").select("node", F.col("leaf")[0].alias("value"))
+    return m.predict_leaf(_fixed_rows(spark, d)).withColumn("node", F.col("leaf")[0]).join(leaves, "node").select("l_orderkey", "l_partkey", "value")
+
+
+query("model_roundtrip", ORACLE_SQL["predict_margin"])(
+    lambda spark, d: Model.from_json(fixed_model().to_json()).with_margin(_fixed_rows(spark, d)).select("l_orderkey", "l_partkey", r6("m0").alias("margin")))
+
+
+def _large_backend(spark, d):
+    m = fixed_model()
+    return m._mapped(_fixed_rows(spark, d), lambda m, x, b: m.numpy_margin(x, b), ["m0"]).select("l_orderkey", "l_partkey", r6("m0").alias("margin"))
+
+
+query("predict_margin_batches", ORACLE_SQL["predict_margin"])(_large_backend)
+
+
+@query("predict_linear", "SELECT o_orderkey, round(0.5 + 0.001 * o_totalprice - 0.02 * (o_custkey % 10), 6) AS margin, round(0.001 * o_totalprice, 6) AS c_price FROM orders")
+def _predict_linear(spark, d):
+    import numpy as np
+
+    m = Model(P.resolve({"booster": "gblinear"}), ["price", "x"], [0.2])
+    m.linear = np.array([[0.001], [-0.02], [0.3]])
+    df = t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 10).cast("double").alias("x"))
+    return m.contributions(m.with_margin(df)).select("o_orderkey", r6("m0").alias("margin"), r6(F.col("c0")[0]).alias("c_price"))
+
+
+query("custom_objective", f"SELECT o_orderkey, round(2 * (m - y) * w, 6) AS g, round(2 * w, 6) AS h FROM ({_base('real')})")(
+    lambda spark, d: O.get(lambda m, y, w: (2 * (m[0] - y) * w, 2 * w)).gradients(_real_rows(spark, d)).select(F.col("row_id").alias("o_orderkey"), r6("g0").alias("g"), r6("h0").alias("h")))
+query("custom_metric", f"SELECT round(max(abs(m - y)), 6) AS value FROM ({_base('real')})")(
+    lambda spark, d: spark.createDataFrame([(M.value(lambda x: ("max_error", x.agg(r6(F.max(F.abs(F.col("m0") - F.col("label"))))).first()[0]), _real_rows(spark, d))[1],)], "value double"))
+
+
+@query("source_libsvm", "SELECT o_orderkey AS qid, CAST(o_orderkey % 2 AS DOUBLE) AS label, o_totalprice AS f1, CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS f2 FROM orders")
+def _source_libsvm(spark, d):
+    import tempfile
+    import uuid
+
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grove_text_")).rstrip("/") + f"/libsvm-{uuid.uuid4().hex}"
+    cells = F.concat(F.lit("1:"), F.col("o_totalprice").cast("string")), F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("2:"), F.col("o_custkey").cast("string")))
+    t(spark, d, "orders").select(F.concat_ws(" ", (_k() % 2).cast("string"), F.concat(F.lit("qid:"), _k().cast("string")), *cells).alias("value")).write.text(folder)
+    return frames.read_text(spark, f"{folder}?format=libsvm").select("qid", "label", "f1", "f2")
+
+
+QUERIES |= {
+    "train_continue": lambda spark, d: train({"objective": "binary:logistic", "max_depth": 2}, _lines(spark, d), 1, features=FEATURES, init_model=train({"objective": "binary:logistic", "max_depth": 2}, _lines(spark, d), 1, features=FEATURES)).node_table(spark),
+    "train_update": lambda spark, d: train({"objective": "binary:logistic", "process_type": "update", "updater_seq": "refresh,prune"}, _lines(spark, d), 1, features=FEATURES, init_model=train({"objective": "binary:logistic", "max_depth": 2}, _lines(spark, d), 1, features=FEATURES)).node_table(spark),
+    "train_absolute": _trained({"objective": "reg:absoluteerror", "max_depth": 2}, 2, lambda s, d: _lines(s, d).withColumn("label", F.col("l_quantity") * F.col("l_discount"))),
+    "train_cox": _trained({"objective": "survival:cox", "max_depth": 2}, 2, lambda s, d: t(s, d, "orders").select(_k().alias("row_id"), F.expr(_COX_Y).alias("label"), (_k() % 7).cast("double").alias("f0"), (_k() % 5).cast("double").alias("f1")), features=["f0", "f1"]),
+    "train_categorical": _trained({"objective": "binary:logistic", "max_depth": 3}, 2, lambda s, d: t(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), "l_linestatus", "l_quantity"), features=["l_linestatus", "l_quantity"]),
+    "cuts_export": lambda spark, d: spark.createDataFrame([(i, b, float(c)) for i, x in enumerate(train({"max_depth": 1, "max_bin": 16}, _lines(spark, d), 1, features=FEATURES).cuts) for b, c in enumerate(x)], "fidx int, bin int, cut double"),
+}

@@ -95,9 +95,19 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def decided(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
+    """Per row of docs: doc_id, __source, __lang, __topic, __words, __probability, __kept. The
+    texts are read once: what is measured on them is written as a table."""
+    d = written(with_cell(docs).select("doc_id", "__source", "__lang", "__topic", "__words"), "mix_measured")
+    return _with_probability(d, targets, rate)
+
+
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
     """docs with __source, __lang, __topic, __words, __probability and __kept."""
-    d = with_cell(docs)
+    return _with_probability(with_cell(docs), targets, rate)
+
+
+def _with_probability(d: DataFrame, targets: dict[str, DataFrame] | None, rate: float) -> DataFrame:
     cells = d.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum(F.greatest(F.col("__words"), F.lit(1))).alias("tokens"))
     cells = written(cells, "mix_counts")
     found = calibrate(rake(cells, {k: (targets or {}).get(k, default_targets(cells, k)) for k in DIMS}), rate)

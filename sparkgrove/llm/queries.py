@@ -17,7 +17,7 @@ def op1_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    found = mixing.decided(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__words").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"))
 
 

@@ -84,6 +84,8 @@ def test_sampling(spark):
     assert len(m) == d.count() and m["__probability"].between(0, 1).all()
     weight = m["__words"].clip(lower=1)
     assert (weight * m["__probability"]).sum() == pytest.approx(0.6 * weight.sum(), rel=1e-6)
+    once = mixing.decided(d, rate=0.6).toPandas()
+    assert sorted(once["__probability"]) == pytest.approx(sorted(m["__probability"])) and once["__kept"].sum() == m["__kept"].sum()
     kept = mixing.sample(d, rate=0.6)
     assert kept.columns == d.columns and kept.count() == m["__kept"].sum()
     assert mixing.sample(d.limit(0)).count() == 0

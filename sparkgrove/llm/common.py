@@ -59,7 +59,7 @@ def released(spark: SparkSession) -> None:
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
-    return F.crc32(doc_id.cast("string")) % n
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
 def n_tasks(spark: SparkSession) -> int:

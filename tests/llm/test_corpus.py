@@ -42,6 +42,9 @@ def test_scores(spark):
         assert math.isfinite(r["score"]) and r["score"] < 0
     assert sum(got[i]["score"] for i in got if held[i]) > sum(got[i]["base_score"] for i in got if held[i]) * 1.6
     assert scoring.score(frame(spark, made).limit(0), F.lit(True)).count() == 0
+    odd = frame(spark, ["a b", "a"]).withColumn("doc_id", F.lit(None).cast("long"))
+    got = scoring.score(odd.unionByName(frame(spark, ["a b", "a b"]).withColumn("doc_id", F.lit(7).cast("long"))), crc_mod(F.col("doc_id"), 5) != 1).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["7", "7", "None", "None"] and all(r["held_out"] is not None for r in got)
     assert all(r["train_tokens"] == 0 for r in scoring.score(frame(spark, made[:5]), F.lit(False)).collect())
 
 

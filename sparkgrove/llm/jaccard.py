@@ -239,15 +239,41 @@ def _node_search(num: int, den: int):
     return run
 
 
-def _sets(k: int):
+BITS = 1 << 26
+
+
+def _sets(k: int, packed):
+    """The sets of the documents whose bit is set (and of few others)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = packed.value
         for batch in slices(batches):
-            sh, begin = shingle_sets(text_or_empty(batch.column("text")), k)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            at = (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+            there = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
+            if not len(there):
+                continue
+            sh, begin = shingle_sets(text_or_empty(batch.column("text").take(pa.array(there))), k)
             yield pa.RecordBatch.from_arrays([pa.array(_per_set(sh, begin).view(np.int64)), pa.array([sh[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())], names=["sig", "shingles"])
 
     return run
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = (mix64(batch.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((at >> 5).astype(np.int32)), pa.array(np.int64(1) << (at & 31))], names=["word", "bits"])
+
+
+def marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits (8 MB, whatever the number of ids) of hashed doc_ids."""
+    out = np.zeros(BITS >> 5, "<u4")
+    words = ids.mapInArrow(_marks, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    for batch in words.toArrow().to_batches():  # as many rows as the map has words, at most
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +331,9 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     known = all_points.where("doc_id IS NOT NULL AND n > 0")
     met = cells.select("sig").distinct()
     points = written(known.join(met, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "jac_met")
-    sets = rows.join(points.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "sig long, shingles binary").join(met, "sig", "left_semi").dropDuplicates(["sig"])
+    # one document for each point; a second set for a name, or one too many, does no harm
+    bits = spark.sparkContext.broadcast(marked(points.select("doc_id")))
+    sets = rows.where("doc_id IS NOT NULL").mapInArrow(_sets(k, bits), "sig long, shingles binary")
     sets = written(sets, "jac_sets")
     side = lambda s: points.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}"))
     of = lambda s: sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"s{s}"))

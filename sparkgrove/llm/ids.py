@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, n_tasks, shared_dir, slices, text_or_empty, written
+from .common import SLICE_BYTES, joined_bytes, n_tasks, shared_dir, slices, text_or_empty, written
 
 #: ids per word and bits per id of each selector (fixed values of the format)
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -43,8 +43,9 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     order = sorted(set(WIDTHS))
     need = np.zeros(n + max(COUNTS), np.int8)  # the narrowest width that holds the id; nothing after the end
+    small = ids.astype(np.uint32) if ids.max() < 1 << 32 else ids  # narrow numbers compare faster
     for width in order:
-        need[:n] += ids >= np.uint64(1 << width)
+        need[:n] += small >= small.dtype.type(1 << width)
     # the widest need among the next c ids, for all c, from shorter spans
     span = {1: need}
     for c in sorted(COUNTS):
@@ -56,7 +57,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
         fits = span[COUNTS[s]][:n] <= order.index(WIDTHS[s])
         if s < 2:
             fits[max(0, n - COUNTS[s] + 1) :] = False  # runs of zeros are never padded
-        best[fits] = s
+        np.minimum(best, np.where(fits, np.int8(s), np.int8(ESCAPE)), out=best)
     step = np.array([*COUNTS, 1], np.int64)[best].tolist()
     places, at = [], 0
     while at < n:
@@ -72,8 +73,10 @@ def pack(ids: np.ndarray) -> np.ndarray:
     for s in range(2, len(COUNTS)):
         mine = chosen == s
         if mine.any():
-            block = padded[places[mine][:, None] + np.arange(COUNTS[s])]
-            words[where[mine]] |= np.bitwise_or.reduce(block << (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(WIDTHS[s])), axis=1)
+            at, word = places[mine], np.zeros(int(mine.sum()), np.uint64)
+            for k in range(COUNTS[s]):
+                word |= padded[at + k] << np.uint64(k * WIDTHS[s])
+            words[where[mine]] |= word
     raw = chosen == ESCAPE
     words[where[raw] + 1] = ids[places[raw]]
     return words
@@ -243,7 +246,7 @@ def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows of a partition -> blocks of consecutive documents."""
         encoder, docs, kept, size, part, block = worker_encoder(path), [], [], 0, 0, 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 * SLICE_BYTES):  # fewer slices look fewer pieces up
             ids, begin = encoder.encode(text_or_empty(batch.column("text")))
             part = batch.column("part")[0].as_py()
             for d, a, b in zip(batch.column("doc_id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):

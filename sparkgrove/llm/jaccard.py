@@ -32,8 +32,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import RollingHash, joined_bytes, lower_bytes, mix64, n_tasks, released, slices, text_or_empty, word_spans, written
 
@@ -259,6 +261,30 @@ def _sets(k: int, packed):
     return run
 
 
+def _flagged(packed):
+    """Appends whether a row's doc_id has its bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = packed.value
+        for batch in batches:
+            ids = batch.column("__id")
+            at = (mix64(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((bits[at >> 3] >> (at & 7)) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False))], names=[*batch.schema.names, "__maybe"])
+
+    return run
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows with a doc_id of gone(doc_id). Only rows whose bit is set in a
+    bitmap of those ids go into the join; the other texts are not dealt out."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    bits = docs.sparkSession.sparkContext.broadcast(marked(gone))
+    d = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    d = d.mapInArrow(_flagged(bits), StructType([*d.schema.fields, StructField("__maybe", BooleanType())]))
+    ids = gone.select(F.col("doc_id").alias("__id"))
+    return d.where("NOT __maybe").select(*names).unionAll(d.where("__maybe").join(ids, "__id", "left_anti").select(*names))
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = (mix64(batch.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
@@ -374,7 +400,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     a doc_id one stays, rows with a null doc_id all stay."""
     found = written(join_components(docs, k, num, den), "jac_found")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = without(docs, gone)
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         repeated = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
         kept = repeated.unionByName(kept.where("doc_id IS NULL"))

@@ -177,7 +177,7 @@ _EV = "SELECT user_id AS qid, event_id AS row_id, CAST(event_id % {rel} AS DOUBL
 
 
 def _events(spark, d, rel=4):
-    e = t(spark, d, "events").where(F.col("event_id") % 20 < 3)
+    e = t(spark, d, "events")
     return e.select(F.col("user_id").alias("qid"), F.col("event_id").alias("row_id"), (F.col("event_id") % rel).cast("double").alias("label"), (((F.col("event_id") * 37) % 101).cast("double") / 50).alias("m0"), (F.col("user_id") % 3 + 1).cast("double").alias("weight"))
 
 

@@ -3,9 +3,9 @@
 Cuts of a numeric feature: with at most max_bin distinct values, all but the smallest;
 else values at evenly spaced weighted ranks; then a sentinel above the largest. Bin of a
 value: the first cut strictly greater, clamped to the last. Categories 0..max are bins
-themselves. Cuts are a small table (fidx, bin, cut); one grouped pass makes them, and
-distinct values beyond a bound go through a KLL-like mergeable summary in SQL
-(percentile_approx) instead of an exact cumulative window.
+themselves. Cuts are a small table (fidx, bin, cut); one grouped pass makes them. Ranks
+are exact and weighted at any number of distinct values: beyond a bound the values of a
+feature are dealt out by range, and each range adds the weight that stands below it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_DISTINCT = 1 << 16  # distinct values of a feature up to which ranks are exact
+EXACT_DISTINCT = 1 << 16  # distinct values of a feature up to which one task ranks them
 
 
 def long(df: DataFrame, features: list[str], weight: str | Column = "weight") -> DataFrame:
@@ -26,23 +26,17 @@ def long(df: DataFrame, features: list[str], weight: str | Column = "weight") ->
 
 
 def cut_table(df: DataFrame, features: list[str], max_bin: int = 256, weight: str | Column = "weight", categorical: set[str] = frozenset()) -> DataFrame:
-    """(fidx, bin, cut) of all features, weighted, exact up to EXACT_DISTINCT distinct values."""
+    """(fidx, bin, cut) of all features, weighted and exact."""
     cats = {i for i, f in enumerate(features) if f in categorical}
     cells = long(df, features, weight)
     values = cells.groupBy("fidx", "value").agg(F.sum("w").alias("w"))
-    # features with more distinct values are first summarised by approximate percentiles
+    # features with more distinct values are ranked in ranges
     sizes = values.groupBy("fidx").agg(F.count("*").alias("n"), F.max("value").alias("top")).collect()
     n, top = {r["fidx"]: r["n"] for r in sizes}, {r["fidx"]: r["top"] for r in sizes}
-    large = [i for i in n if n[i] > EXACT_DISTINCT and i not in cats]
+    large = [i for i in n if n[i] > max(EXACT_DISTINCT, max_bin) and i not in cats]
     parts = [exact_cuts(values.where(~F.col("fidx").isin([*large, *cats])) if large or cats else values, max_bin)]
     if large:
-        probs = [i / (8 * max_bin) for i in range(1, 8 * max_bin)]
-        some = []
-        for i in large:
-            one = df.where(F.col(features[i]).isNotNull()).agg(F.percentile_approx(F.col(features[i]).cast("double"), F.lit(probs), F.lit(100 * max_bin)).alias("v")).select(F.lit(i).alias("fidx"), F.explode("v").alias("value"))
-            some.append(one.groupBy("fidx", "value").agg(F.count("*").cast("double").alias("w")))
-        kept = reduce(DataFrame.unionAll, some).unionAll(df.sparkSession.createDataFrame([(i, float(top[i]), 0.5) for i in large], "fidx int, value double, w double"))
-        parts.append(exact_cuts(kept.groupBy("fidx", "value").agg(F.sum("w").alias("w")), max_bin))
+        parts.append(range_cuts(values.where(F.col("fidx").isin(large)), max_bin, sum(n[i] for i in large)))
     spark = df.sparkSession
     rest = [(i, b, float(b + 1)) for i in sorted(cats) for b in range(int(top.get(i, -1)) + 1)] + [(i, 0, 1e-5) for i in range(len(features)) if i not in n and i not in cats]
     if rest:
@@ -64,6 +58,30 @@ def exact_cuts(values: DataFrame, max_bin: int) -> DataFrame:
     return inner.unionByName(ends).select("fidx", (F.row_number().over(Window.partitionBy("fidx").orderBy("cut")) - 1).alias("bin"), "cut")
 
 
+def range_cuts(values: DataFrame, max_bin: int, size: int) -> DataFrame:
+    """exact_cuts of features with more than max_bin values, without one task for a feature.
+    The ranges are kept, as a second dealing might draw other bounds."""
+    spark = values.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // EXACT_DISTINCT))
+    dealt = values.repartitionByRange(n, "fidx", "value").withColumn("part", F.spark_partition_id()).persist()
+    sums = dealt.groupBy("fidx", "part").agg(F.sum("w").alias("own"), F.min("value").alias("low"), F.max("value").alias("high"))
+    below = Window.partitionBy("fidx").orderBy("part")  # one row for each range
+    f = Window.partitionBy("fidx")
+    sums = sums.select("fidx", "part", F.coalesce(F.sum("own").over(below.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("below"), F.sum("own").over(f).alias("total"), F.min("low").over(f).alias("low"), F.max("high").over(f).alias("top"))
+    inside = Window.partitionBy("fidx", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    d = dealt.withColumn("cum", F.sum("w").over(inside)).join(F.broadcast(sums), ["fidx", "part"]).withColumn("cum", F.col("cum") + F.col("below"))
+    step = F.col("total") / max_bin
+    first, last = F.ceil((F.col("cum") - F.col("w")) / step), F.ceil(F.col("cum") / step) - 1
+    picked = (F.col("value") > F.col("low")) & (F.greatest(first, F.lit(1)) <= F.least(last, F.lit(max_bin - 1)))
+    found = {(r["fidx"], r["cut"]) for r in d.where(picked).select("fidx", F.col("value").alias("cut")).collect()}  # at most max_bin values a feature
+    found |= {(r["fidx"], r["top"] + (abs(r["top"]) + 1e-5)) for r in sums.select("fidx", "top").distinct().collect()}
+    dealt.unpersist()
+    by: dict[int, list[float]] = {}
+    for i, cut in sorted(found):
+        by.setdefault(i, []).append(cut)
+    return spark.createDataFrame([(i, b, c) for i, cs in by.items() for b, c in enumerate(cs)], "fidx int, bin int, cut double")
+
+
 def cut_lists(cuts: DataFrame, n_features: int) -> list[list[float]]:
     """The small table on the driver: at most max_bin values for each feature."""
     got = {r["fidx"]: r["cuts"] for r in cuts.groupBy("fidx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "cut"))), lambda x: x["cut"]).alias("cuts")).collect()}

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from sparkgrove import catalogue
+from sparkgrove.operators import cuts
 
 SF = "/root/testdata/sf0.001"
 RANKS = ["grad_rank_pairwise", "grad_rank_ndcg", "grad_rank_map", "metric_auc_group", "metric_ndcg", "metric_map", "metric_pre", "rank_topk"]
@@ -34,3 +35,22 @@ def test_ranking_on_all_events(spark, name):
 def test_mean_pairs_reach_all_events(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").count()
     assert catalogue.QUERIES["grad_rank_mean"](spark, SF).count() == events
+
+
+@pytest.mark.parametrize("bound", [10, 1 << 16])
+def test_weighted_cuts_beyond_the_bound(spark, monkeypatch, bound):
+    rows = [(i * 37 % 1009 / 8, (i * 31 % 211) / 16, float((i * 7) % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x double, y double, weight double")
+    monkeypatch.setattr(cuts, "EXACT_DISTINCT", bound)
+    got = cuts.cut_lists(cuts.cut_table(df, ["x", "y"], 16), 2)
+    for column, own in enumerate(got):
+        weight = {}
+        for row in rows:
+            if row[2]:
+                weight[row[column]] = weight.get(row[column], 0) + row[2]
+        total, cum, want = sum(weight.values()), 0, []
+        for nth, (value, w) in enumerate(sorted(weight.items())):
+            if nth and any(cum <= k * total / 16 < cum + w for k in range(1, 16)):
+                want.append(value)
+            cum += w
+        assert own[:-1] == want and own[-1] > max(weight)

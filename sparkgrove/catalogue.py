@@ -95,7 +95,7 @@ def _base(label: str) -> str:
 
 for _name, (_obj, _label, _params, _g, _h) in _GRADS.items():
     query(f"grad_{_name}", f"SELECT o_orderkey, round({_g}, 6) AS g, round({_h}, 6) AS h FROM ({_base(_label)}) WHERE m > -0.9")(
-        lambda spark, d, o=_obj, l=_label, p=_params: _graded(spark, d, o, l, p).where("m0 > -0.9").select("o_orderkey", r6("g0").alias("g"), r6("h0").alias("h")))
+        lambda spark, d, o=_obj, l=_label, p=_params: _graded(spark, d, o, l, p).select("o_orderkey", r6("g0").alias("g"), r6("h0").alias("h")))
 
 query("grad_absolute", f"WITH b AS ({_base('real')}), s AS (SELECT pow(sum(w * sqrt(abs(m - y))) / sum(w), 2) AS s FROM b) SELECT o_orderkey, round(w * (m - y) * s / sqrt(s * s + (m - y) * (m - y)), 6) AS g, round(w * s / sqrt(s * s + (m - y) * (m - y)), 6) AS h FROM b, s")(
     lambda spark, d: _graded(spark, d, "reg:absoluteerror", "real", {}).select("o_orderkey", r6("g0").alias("g"), r6("h0").alias("h")))

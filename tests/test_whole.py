@@ -37,6 +37,13 @@ def test_mean_pairs_reach_all_events(spark):
     assert catalogue.QUERIES["grad_rank_mean"](spark, SF).count() == events
 
 
+@pytest.mark.parametrize("name", [f"grad_{x}" for x in catalogue._GRADS])
+def test_gradients_of_all_orders(spark, name):
+    got = catalogue.QUERIES[name](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    same(got, whole_sql(name, "m > -0.9"))
+
+
 @pytest.mark.parametrize("bound", [10, 1 << 16])
 def test_weighted_cuts_beyond_the_bound(spark, monkeypatch, bound):
     rows = [(i * 37 % 1009 / 8, (i * 31 % 211) / 16, float((i * 7) % 5)) for i in range(3000)]

@@ -1,10 +1,10 @@
 """License scan: ordered signature rules.
 
-Rules are regular expressions with a label, a priority and a keyword. A text is
-tried against a rule only if the rule's keyword is in it (one automaton finds all
-keywords in one pass). Of overlapping detections a span that lies within the span of
-a detection of higher priority is suppressed (equal priority: the longer span, then
-the earlier rule, wins).
+Rules are regular expressions with a label, a priority and keywords: words that every
+match holds, whatever separates them. A text is tried against a rule only if all the
+rule's keywords are in it (one automaton finds all keywords in one pass). Of
+overlapping detections a span that lies within the span of a detection of higher
+priority is suppressed (equal priority: the longer span, then the earlier rule, wins).
 
 Base phrases are found apart from the rules and are never suppressed: places where
 the phrase's words stand consecutively, words being `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of
@@ -33,71 +33,71 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 _WORD = np.ones(256, bool)
 _WORD[0:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
 
-# The signatures: (label, priority, keyword, pattern); W stands for separators between words.
+# The signatures: (label, priority, keywords, pattern); W stands for separators between words.
 # Families first, then one rule for each version and each wording.
 _PLAIN = [
-    ("mit", 50, "mit license", r"\b(?:the )?mitWlicense\b"),
-    ("mit", 60, "permission is hereby granted", r"permissionWisWherebyWgranted,?WfreeWofWcharge\b"),
-    ("mit", 40, "under mit", r"\b(?:licensedW|released|distributed)?W?underW(?:the )?mit\b"),
-    ("mit-0", 70, "mit no attribution", r"\bmitWnoWattribution\b"),
+    ("mit", 50, "mit license", r"\b(?:theW)?mitWlicense\b"),
+    ("mit", 60, "permission hereby granted", r"permissionWisWherebyWgranted,?WfreeWofWcharge\b"),
+    ("mit", 40, "under mit", r"\b(?:(?:licensed|released|distributed)W)?underW(?:theW)?mit\b"),
+    ("mit-0", 70, "mit attribution", r"\bmitWnoWattribution\b"),
     ("isc", 50, "isc license", r"\biscWlicense\b"),
-    ("isc", 60, "permission to use, copy", r"permissionWtoWuse,WcopyW?,?WmodifyW?,?Wand(?:/or)?WdistributeWthisWsoftware"),
-    ("bsd", 40, "bsd", r"\bbsd(?:Wstyle)?Wlicen[sc]e\b"),
-    ("bsd", 55, "redistribution and use", r"redistributionWandWuseWinWsourceWandWbinaryWforms"),
+    ("isc", 60, "permission modify", r"permissionWtoWuse,WcopyW?,?WmodifyW?,?Wand(?:/or)?WdistributeWthisWsoftware"),
+    ("bsd", 40, "bsd licen", r"\bbsd(?:Wstyle)?Wlicen[sc]e\b"),
+    ("bsd", 55, "redistribution binary", r"redistributionWandWuseWinWsourceWandWbinaryWforms"),
     ("unlicense", 60, "unlicense", r"\b(?:theW)?unlicense\b"),
-    ("unlicense", 60, "released into the public domain", r"freeWandWunencumberedWsoftwareWreleasedWintoWtheWpublicWdomain"),
+    ("unlicense", 60, "unencumbered domain", r"freeWandWunencumberedWsoftwareWreleasedWintoWtheWpublicWdomain"),
     ("public-domain", 30, "public domain", r"\bpublicWdomain\b"),
-    ("zlib", 50, "zlib", r"\bzlib(?:/libpng)?Wlicense\b"),
+    ("zlib", 50, "zlib license", r"\bzlib(?:/libpng)?Wlicense\b"),
     ("wtfpl", 50, "wtfpl", r"\bwtfpl\b"),
-    ("wtfpl", 60, "do what the", r"doWwhatWtheWf\w+WyouWwantWtoWpublicWlicense"),
-    ("boost", 50, "boost software", r"\bboostWsoftwareWlicense\b"),
+    ("wtfpl", 60, "want public license", r"doWwhatWtheWf\w+WyouWwantWtoWpublicWlicense"),
+    ("boost", 50, "boost license", r"\bboostWsoftwareWlicense\b"),
     ("artistic", 50, "artistic license", r"\bartisticWlicense\b"),
-    ("eclipse", 50, "eclipse public", r"\beclipseWpublicWlicense\b"),
-    ("mozilla", 50, "mozilla public", r"\bmozillaWpublicWlicense\b"),
-    ("apache", 45, "apache license", r"\bapacheWlicen[sc]e\b"),
-    ("apache", 40, "apache software", r"\bapacheWsoftwareWlicen[sc]e\b"),
-    ("gnu", 20, "gnu", r"\bgnuW(?:\w+W)?(?:public|documentation)Wlicen[sc]e\b"),
-    ("agpl", 55, "affero", r"\bafferoWgeneralWpublicWlicen[sc]e\b"),
-    ("lgpl", 55, "lesser general", r"\blesserWgeneralWpublicWlicen[sc]e\b"),
-    ("lgpl", 55, "library general", r"\blibraryWgeneralWpublicWlicen[sc]e\b"),
-    ("gfdl", 55, "free documentation", r"\bfreeWdocumentationWlicen[sc]e\b"),
+    ("eclipse", 50, "eclipse license", r"\beclipseWpublicWlicense\b"),
+    ("mozilla", 50, "mozilla license", r"\bmozillaWpublicWlicense\b"),
+    ("apache", 45, "apache licen", r"\bapacheWlicen[sc]e\b"),
+    ("apache", 40, "apache licen", r"\bapacheWsoftwareWlicen[sc]e\b"),
+    ("gnu", 20, "gnu licen", r"\bgnuW(?:\w+W)?(?:public|documentation)Wlicen[sc]e\b"),
+    ("agpl", 55, "affero licen", r"\bafferoWgeneralWpublicWlicen[sc]e\b"),
+    ("lgpl", 55, "lesser licen", r"\blesserWgeneralWpublicWlicen[sc]e\b"),
+    ("lgpl", 55, "library licen", r"\blibraryWgeneralWpublicWlicen[sc]e\b"),
+    ("gfdl", 55, "documentation licen", r"\bfreeWdocumentationWlicen[sc]e\b"),
     ("creative-commons", 20, "creative commons", r"\bcreativeWcommons\b"),
     ("cc0", 60, "cc0", r"\bcc0\b"),
     ("openrail", 50, "openrail", r"\b(?:bigscienceW|bigcodeW|creativemlW)?openrail(?:Wm|\+\+)?\b"),
-    ("proprietary", 45, "proprietary", r"\bproprietaryWandWconfidential\b"),
-    ("proprietary", 40, "confidential", r"\bconfidentialWandWproprietary\b"),
-    ("proprietary", 30, "not be reproduced", r"\b(?:may|must)WnotWbeWreproduced\b"),
+    ("proprietary", 45, "proprietary confidential", r"\bproprietaryWandWconfidential\b"),
+    ("proprietary", 40, "proprietary confidential", r"\bconfidentialWandWproprietary\b"),
+    ("proprietary", 30, "reproduced", r"\b(?:may|must)WnotWbeWreproduced\b"),
     ("proprietary", 30, "without permission", r"\bwithoutW(?:priorW)?(?:writtenW)?permission\b"),
     ("copyright-notice", 25, "copyright", r"\bcopyrightW(?:\(c\)|©)?W?\d{4}\b"),
     ("copyright-notice", 25, "©", r"©W?\d{4}\b"),
     ("copyright-notice", 20, "copyright", r"\bcopyrightW(?:by|of|holder)\b"),
     ("license-header", 10, "licensed under", r"\blicensedWunderW(?:theW)?(?:termsWofW)?(?:theW)?[a-z0-9\-]+"),
-    ("license-header", 10, "license", r"\b(?:this|the)W(?:work|text|file|software|document)WisWlicen[sc]edWunder\b"),
-    ("license-header", 10, "see license", r"\bseeWlicen[sc]e(?:\.txt|\.md)?\b"),
-    ("license-header", 10, "license.txt", r"\blicen[sc]e\.(?:txt|md|rst)\b"),
+    ("license-header", 10, "licen under", r"\b(?:this|the)W(?:work|text|file|software|document)WisWlicen[sc]edWunder\b"),
+    ("license-header", 10, "licen", r"\bseeWlicen[sc]e(?:\.txt|\.md)?\b"),
+    ("license-header", 10, "licen", r"\blicen[sc]e\.(?:txt|md|rst)\b"),
     ("spdx", 80, "spdx-license-identifier", r"\bspdx-license-identifier:\s*[a-z0-9.+\-]+"),
 ]
-_VERSIONED = {  # label: (keyword, names, versions)
-    "gpl": ("general public license", ["gnuWgeneralWpublicWlicen[sc]e", "generalWpublicWlicen[sc]e"], ["1", "2", "3"]),
-    "gpl-short": ("gpl", ["gpl", "gnuWgpl"], ["1", "2", "3"]),
-    "lgpl": ("lgpl", ["lgpl", "gnuWlgpl"], ["2", "2.1", "3"]),
-    "lesser-gpl": ("lesser", ["lesserWgeneralWpublicWlicen[sc]e"], ["2", "2.1", "3"]),
-    "agpl": ("agpl", ["agpl", "gnuWagpl"], ["1", "3"]),
-    "affero": ("affero", ["afferoWgeneralWpublicWlicen[sc]e"], ["1", "3"]),
-    "gfdl": ("gfdl", ["gfdl"], ["1.1", "1.2", "1.3"]),
-    "apache": ("apache", ["apacheWlicen[sc]e", "apacheWsoftwareWlicen[sc]e", "apache"], ["1.0", "1.1", "2.0", "2"]),
-    "mozilla": ("mozilla", ["mozillaWpublicWlicen[sc]e"], ["1.0", "1.1", "2.0"]),
-    "mpl": ("mpl", ["mpl"], ["1.0", "1.1", "2.0"]),
-    "eclipse": ("eclipse", ["eclipseWpublicWlicen[sc]e"], ["1.0", "2.0"]),
-    "epl": ("epl", ["epl"], ["1.0", "2.0"]),
-    "cddl": ("cddl", ["cddl"], ["1.0", "1.1"]),
-    "eupl": ("eupl", ["eupl"], ["1.0", "1.1", "1.2"]),
-    "artistic": ("artistic", ["artisticWlicen[sc]e"], ["1.0", "2.0"]),
-    "osl": ("open software", ["openWsoftwareWlicen[sc]e"], ["1.0", "2.0", "2.1", "3.0"]),
-    "afl": ("academic free", ["academicWfreeWlicen[sc]e"], ["2.0", "2.1", "3.0"]),
-    "python": ("python", ["pythonWsoftwareWfoundationWlicen[sc]e"], ["2"]),
-    "odbl": ("odbl", ["odbl", "openWdatabaseWlicen[sc]e"], ["1.0"]),
-    "openrail-m": ("openrail", ["openrailWm"], ["1"]),
+_VERSIONED = {  # label: (names, versions)
+    "gpl": (["gnuWgeneralWpublicWlicen[sc]e", "generalWpublicWlicen[sc]e"], ["1", "2", "3"]),
+    "gpl-short": (["gpl", "gnuWgpl"], ["1", "2", "3"]),
+    "lgpl": (["lgpl", "gnuWlgpl"], ["2", "2.1", "3"]),
+    "lesser-gpl": (["lesserWgeneralWpublicWlicen[sc]e"], ["2", "2.1", "3"]),
+    "agpl": (["agpl", "gnuWagpl"], ["1", "3"]),
+    "affero": (["afferoWgeneralWpublicWlicen[sc]e"], ["1", "3"]),
+    "gfdl": (["gfdl"], ["1.1", "1.2", "1.3"]),
+    "apache": (["apacheWlicen[sc]e", "apacheWsoftwareWlicen[sc]e", "apache"], ["1.0", "1.1", "2.0", "2"]),
+    "mozilla": (["mozillaWpublicWlicen[sc]e"], ["1.0", "1.1", "2.0"]),
+    "mpl": (["mpl"], ["1.0", "1.1", "2.0"]),
+    "eclipse": (["eclipseWpublicWlicen[sc]e"], ["1.0", "2.0"]),
+    "epl": (["epl"], ["1.0", "2.0"]),
+    "cddl": (["cddl"], ["1.0", "1.1"]),
+    "eupl": (["eupl"], ["1.0", "1.1", "1.2"]),
+    "artistic": (["artisticWlicen[sc]e"], ["1.0", "2.0"]),
+    "osl": (["openWsoftwareWlicen[sc]e"], ["1.0", "2.0", "2.1", "3.0"]),
+    "afl": (["academicWfreeWlicen[sc]e"], ["2.0", "2.1", "3.0"]),
+    "python": (["pythonWsoftwareWfoundationWlicen[sc]e"], ["2"]),
+    "odbl": (["odbl", "openWdatabaseWlicen[sc]e"], ["1.0"]),
+    "openrail-m": (["openrailWm"], ["1"]),
 }
 _CC_KINDS, _CC_VERSIONS = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"], ["1.0", "2.0", "2.5", "3.0", "4.0"]
 _CC_NAMES = {"by": "attribution", "by-sa": "attributionWshareWalike", "by-nc": "attributionWnonWcommercial", "by-nd": "attributionWnoWderiv(?:ative)?s", "by-nc-sa": "attributionWnonWcommercialWshareWalike", "by-nc-nd": "attributionWnonWcommercialWnoWderiv(?:ative)?s"}
@@ -105,10 +105,11 @@ _CC_NAMES = {"by": "attribution", "by-sa": "attributionWshareWalike", "by-nc": "
 
 @lru_cache(1)
 def rules() -> list[tuple[str, int, str, regex.Pattern]]:
-    """All rules in order: (label, priority, keyword, compiled pattern)."""
+    """All rules in order: (label, priority, keywords, compiled pattern)."""
     found = list(_PLAIN)
-    for label, (keyword, names, versions) in _VERSIONED.items():
+    for label, (names, versions) in _VERSIONED.items():
         for name in names:
+            keyword = " ".join(w for w in name.replace("licen[sc]e", "licen").split("W") if len(w) > 1)
             for v in versions:
                 number = v.replace(".", r"\.") + (r"(?:\.0)?" if "." not in v else "")
                 found.append((f"{label}-{v}", 70, keyword, rf"\b{name}\W{{0,3}}(?:v|ver\.?|version)?\W{{0,2}}{number}(?![\d.]*\d)"))
@@ -116,32 +117,38 @@ def rules() -> list[tuple[str, int, str, regex.Pattern]]:
     for kind in _CC_KINDS:
         short = kind.replace("-", "W")
         found.append((f"cc-{kind}", 50 + len(kind), "cc", rf"\bccW{short}\b"))
-        found.append((f"cc-{kind}", 50 + len(kind), "attribution", rf"\bcreativeWcommonsW{_CC_NAMES[kind]}\b"))
+        found.append((f"cc-{kind}", 50 + len(kind), "creative attribution", rf"\bcreativeWcommonsW{_CC_NAMES[kind]}\b"))
         for v in _CC_VERSIONS:
             number = v.replace(".", r"\.")
             found.append((f"cc-{kind}-{v}", 70 + len(kind), "cc", rf"\bccW{short}W{number}\b"))
-            found.append((f"cc-{kind}-{v}", 70 + len(kind), "attribution", rf"\bcreativeWcommonsW{_CC_NAMES[kind]}W(?:license|international|unported)?W?{number}\b"))
+            found.append((f"cc-{kind}-{v}", 70 + len(kind), "creative attribution", rf"\bcreativeWcommonsW{_CC_NAMES[kind]}W(?:license|international|unported)?W?{number}\b"))
             found.append((f"cc-{kind}-{v}", 80 + len(kind), "creativecommons.org", rf"creativecommons\.org/licenses/{kind}/{number}"))
-    return [(label, priority, keyword, regex.compile(regex.sub(r"(?<!\\)W", r"\\W{1,4}", p))) for label, priority, keyword, p in found]
+    return [(label, priority, keyword, regex.compile(regex.sub(r"(?<!\\)W", r"(?:\\W{1,4})", p))) for label, priority, keyword, p in found]
 
 
 @lru_cache(1)
 def _gate():
+    """The automaton, which gives each keyword's bit, and the bits that each rule needs."""
     import ahocorasick
 
-    by: dict[str, list[int]] = {}
-    for i, (_, _, keyword, _) in enumerate(rules()):
-        by.setdefault(keyword, []).append(i)
+    words = sorted({w for _, _, keywords, _ in rules() for w in keywords.split()})
+    bit = {w: 1 << i for i, w in enumerate(words)}
     found = ahocorasick.Automaton()
-    for k, v in by.items():
-        found.add_word(k, v)
+    for w in words:
+        found.add_word(w, bit[w])
     found.make_automaton()
-    return found
+    return found, [sum(bit[w] for w in set(keywords.split())) for _, _, keywords, _ in rules()]
 
 
 def detections(low: str) -> list[tuple[int, int, str, int]]:
     """Detections of a lower-case text after suppression: (start, end, label, priority)."""
-    active = sorted({i for _, v in _gate().iter(low) for i in v})
+    gate, needs = _gate()
+    there = 0
+    for _, b in gate.iter(low):
+        there |= b
+    if not there:
+        return []
+    active = [i for i, need in enumerate(needs) if need & there == need]
     table, hits = rules(), []
     for i in active:
         label, priority, _, pattern = table[i]
@@ -157,7 +164,6 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gate = _gate()
     phrases = {k: (tuple(w.encode() for w in k.split()), v) for k, v in BASE.items()}
     for batch in slices(batches):
         texts = text_or_empty(batch.column("text"))
@@ -180,7 +186,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             places.append(i)
                             base.add(label)
                         hit = own.find(parts[0], hit + 1)
-            found = detections(text) if next(gate.iter(text), None) is not None else []
+            found = detections(text)
             labels = sorted(base | {x[2] for x in found})
             strength = max([60 if base else 0, *(x[3] for x in found)])
             rows.append((words, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), min(1.0, strength / 100), [{"start": a, "stop": b, "label": x, "priority": p} for a, b, x, p in found]))

@@ -130,3 +130,28 @@ def test_licenses(spark):
     assert len(licenses.rules()) >= 200 and licenses.scan(docs(spark, []) if False else docs(spark).limit(0)).count() == 0
     spans = licenses.detections("gnu general public license, version 3 or later. all rights reserved cc by-sa 4.0")
     assert not any(a <= c and d <= b and (a, b) != (c, d) for a, b, _, _ in spans for c, d, _, _ in spans)
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("MIT\nLicense", "mit"), ("Permission is hereby\ngranted, free of charge", "mit"), ("released under the\nMIT", "mit"), ("public\ndomain", "public-domain"),
+    ("redistribution and\nuse in source and binary forms", "bsd"), ("GNU General\nPublic License v2", "gpl-2"), ("Apache licence", "apache"), ("see LICENCE.md", "license-header"),
+    ("without prior written permission", "proprietary"), ("open database license 1.0", "odbl-1.0"), ("copyright 2020", "copyright-notice"), ("Copyright (c) 2020", "copyright-notice"), ("\u00a92020", "copyright-notice"),
+    ("creative commons attribution 4.0", "cc-by-4.0")])
+def test_license_separators(text, label):
+    assert label in {x for _, _, x, _ in licenses.detections(re.sub("[A-Z]", lambda m: m[0].lower(), text))}
+
+
+def test_license_keywords_are_in_every_match():
+    """A minimal match of each rule, made of its pattern, passes the rule's own gate."""
+    for _, _, keywords, pattern in licenses.rules():
+        text = pattern.pattern.replace(r"\w+", "x").replace(r"\d{4}", "2020").replace("[sc]", "c")
+        for old, new in ((r"(?:\W{1,4})", "\n"), (r"\W{0,3}", ""), (r"\W{0,2}", ""), (r"\s*", ""), (r"(?![\d.]*\d)", ""), (r"\.", "."), (r"\b", ""), ("[a-z0-9.+\\-]+", "x"), (r"[a-z0-9\-]+", "x"), (r"\(c\)", "c"), (r"\+", "+")):
+            text = text.replace(old, new)
+        while True:  # optional groups go, of alternatives the last stays
+            shorter = re.sub(r"\(\?:([^()]*)\)(\?)?", lambda m: "" if m[2] else m[1].split("|")[-1], text)
+            if shorter == text:
+                break
+            text = shorter
+        text = re.sub(r".\?", "", text, flags=re.S)
+        assert pattern.search(text), (pattern.pattern, text)
+        assert all(w in text for w in keywords.split()), (keywords, text)

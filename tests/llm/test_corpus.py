@@ -102,3 +102,28 @@ def test_experts_are_distributions():
     ratio, prior = scoring.experts(counts, common)
     assert (np.exp(ratio) * np.append(common, 0.65)[:, None]).sum(0) == pytest.approx(np.ones(scoring.MARKERS + 1))
     assert np.exp(prior).sum() == pytest.approx(1)
+
+
+def test_mixer_learns_from_every_held_back_word(spark, monkeypatch):
+    words = [f"w{i:x}{'ab'[i % 2] * (i % 5)}" for i in range(400)]
+    df = spark.createDataFrame([(w,) for w in words], "word string").repartition(3)
+    counts = np.zeros((scoring.ORDERS, 2, 1 << scoring.LOG_SLOTS), np.float32)
+    scoring.count_words(pa.array(words), counts)
+    monkeypatch.setattr(scoring, "MIX_WORDS", 50)
+    mixer = scoring.Mixer(counts)
+    before = mixer.weights.copy()
+    scoring.fit_all(mixer, df)
+    assert (mixer.weights != before).any() and np.isfinite(mixer.weights).all()
+    # the map's cells count each bit of each word once
+    parts = max(1, -(-len(words) // 50))
+    packed = spark.sparkContext.broadcast(scoring.Mixer(counts))
+    order = F.xxhash64("word", F.lit(1))
+    rows = df.select("word", order.alias("order"), F.pmod(order, F.lit(parts)).cast("int").alias("part")).groupBy("part").applyInArrow(scoring._lessons(packed), "lane int, sums binary").collect()
+    size = scoring.Mixer(counts).weights.size
+    assert sum(np.frombuffer(bytes(r["sums"])).reshape(2, -1)[0, size:].sum() for r in rows) == 8 * sum(len(w) + 1 for w in words)
+    # one part is the plain online pass
+    monkeypatch.setattr(scoring, "MIX_WORDS", 1000)
+    one, plain = scoring.Mixer(counts), scoring.Mixer(counts)
+    scoring.fit_all(one, df)
+    plain.fit(pa.array([r["word"] for r in df.orderBy(order, "word").collect()]))
+    assert np.allclose(one.weights, plain.weights, atol=1e-6) and np.allclose(one.map, plain.map, atol=1e-6)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import Distribution, arg_max, dcg_discount, dcg_gain, log_gamma, total
+from .ranges import counted_ties, running
 
 REGISTRY: dict[str, Callable] = {}
 
@@ -151,20 +152,6 @@ def by_score(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     return running(g, "s", ["dp", "dn"])
 
 
-def running(g: DataFrame, key: str, sums: list[str]) -> DataFrame:
-    """Running sums over key descending without one task for all rows: ranges of the key
-    are summed first, then each range adds what stands above it."""
-    spark = g.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = g.repartitionByRange(n, F.col(key).desc()).withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part").orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    d = dealt.withColumns({f"c_{c}": F.sum(c).over(inside) for c in sums})
-    above = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    parts = d.groupBy("__part").agg(*(F.sum(c).alias(f"__{c}") for c in sums)).select("__part", *(F.coalesce(F.sum(f"__{c}").over(above), F.lit(0.0)).alias(f"__{c}") for c in sums))
-    d = d.join(parts, "__part")
-    return d.withColumns({f"c_{c}": F.col(f"c_{c}") + F.col(f"__{c}") for c in sums}).drop("__part", *(f"__{c}" for c in sums))
-
-
 def _binary_auc(df: DataFrame, score: Column, positive: Column) -> DataFrame:
     """(area, tp): area under the curve and the weight of positives; null with one class."""
     d = by_score(df, score, positive)
@@ -283,7 +270,12 @@ def _ams(df, p, arg, minus):
     s, b = F.col("c_ds"), F.col("c_db")
     ams = F.sqrt(2 * ((s + b + 10) * F.log(1 + s / (b + 10)) - s))
     if 0 < top < n:
-        return d.orderBy(F.desc("s"), "row_id").limit(top).agg(F.sum("ds").alias("c_ds"), F.sum("db").alias("c_db")).select(ams.alias("value"))
+        # scores that lie in the share as a whole, then the first rows of the score it ends in
+        g = running(d.groupBy("s").agg(F.count("*").alias("n")), "s", ["n"])
+        last = g.where(F.col("c_n") >= top).agg(F.max(F.struct("s", (F.lit(top) - (F.col("c_n") - F.col("n"))).alias("left"))).alias("x")).first()["x"]
+        tied = counted_ties(d.where(F.col("s") == last["s"]).withColumn("one", F.lit(1)), "s", "row_id", {"rk": F.col("one")}).where(F.col("rk") <= last["left"])
+        kept = d.where(F.col("s") > last["s"]).select("ds", "db").unionAll(tied.select("ds", "db"))
+        return kept.agg(F.coalesce(F.sum("ds"), F.lit(0.0)).alias("c_ds"), F.coalesce(F.sum("db"), F.lit(0.0)).alias("c_db")).select(ams.alias("value"))
     g = d.groupBy("s").agg(F.sum("ds").alias("ds"), F.sum("db").alias("db"))
     return running(g, "s", ["ds", "db"]).agg(F.max(ams).alias("value"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS, Distribution, arg_max, dcg_discount, dcg_gain, sigmoid, softmax, softplus, total
+from .ranges import counted_ties, running
 
 REGISTRY: dict[str, Callable[[dict], Objective]] = {}  # noqa: F821
 FLT_MIN = 1.1754943508222875e-38
@@ -334,16 +335,20 @@ class Cox(_LogLink):
     metric, stump = "cox-nloglik", True
 
     def gradients(self, df):
-        key = "row_id" if "row_id" in df.columns else "label"
-        time, e = F.abs("label"), F.exp("m0")
-        risk = Window.orderBy(F.col("__t").desc()).rangeBetween(Window.unboundedPreceding, 0)
-        past = Window.orderBy("__t", key).rowsBetween(Window.unboundedPreceding, 0)
-        d = df.withColumns({"__t": time, "__e": e}).withColumn("__d", F.sum("__e").over(risk))
         event = F.col("label") > 0
-        d = d.withColumns({"__r": F.sum(F.when(event, 1 / F.col("__d")).otherwise(0.0)).over(past), "__s": F.sum(F.when(event, 1 / (F.col("__d") * F.col("__d"))).otherwise(0.0)).over(past)})
-        g = F.col("__e") * F.col("__r") - event.cast("double")
-        h = F.col("__e") * F.col("__r") - F.col("__e") * F.col("__e") * F.col("__s")
-        return d.withColumns({"g0": g * F.col("weight"), "h0": h * F.col("weight")}).drop("__t", "__e", "__d", "__r", "__s")
+        d = df.withColumns({"__t": F.abs("label"), "__e": F.exp("m0"), "__event": event.cast("double")})
+        times = d.groupBy("__t").agg(F.sum("__e").alias("e"), F.sum("__event").alias("k"))
+        # the risk set of a time is what is left then; event sums of the times before it
+        risk = running(times, "__t", ["e"]).select("__t", F.col("c_e").alias("__d"), (F.col("k") / F.col("c_e")).alias("r"), (F.col("k") / F.col("c_e") / F.col("c_e")).alias("s"))
+        past = running(risk, "__t", ["r", "s"], descending=False).select(F.col("__t").alias("__time"), "__d", (F.col("c_r") - F.col("r")).alias("__r"), (F.col("c_s") - F.col("s")).alias("__s"))
+        key = "row_id" if "row_id" in df.columns else "label"
+        d = counted_ties(d, "__t", key, {"__k": F.col("__event")})
+        d = d.join(past, F.col("__t").eqNullSafe(F.col("__time")))
+        own = F.col("__k") / F.col("__d")
+        r, s = F.col("__r") + own, F.col("__s") + own / F.col("__d")
+        g = F.col("__e") * r - F.col("__event")
+        h = F.col("__e") * r - F.col("__e") * F.col("__e") * s
+        return d.withColumns({"g0": g * F.col("weight"), "h0": h * F.col("weight")}).drop("__t", "__e", "__d", "__r", "__s", "__k", "__event", "__time")
 
 
 @register("survival:aft")

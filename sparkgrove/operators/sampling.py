@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def uniform(row_id: Column, share: float, seed: int) -> Column:
     """A repeatable mask: the row's hash against the share."""
@@ -17,13 +19,14 @@ def gradient_size(g: Column, h: Column) -> Column:
 
 def threshold(df: DataFrame, share: float, size: Column) -> float:
     """u with sum(min(1, size / u)) = share * rows, from sums over distinct sizes."""
-    d = df.groupBy(size.alias("r")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.col("r"))
+    d = df.groupBy(size.alias("r")).agg(F.count("*").alias("n")).withColumn("mass", F.col("r") * F.col("n"))
     total = df.count()
     want = share * total
-    d = d.withColumns({"below": F.coalesce(F.sum(F.col("r") * F.col("n")).over(w), F.lit(0.0)), "rows": F.sum("n").over(w)})
-    d = d.withColumn("u", F.col("below") / (F.lit(want) - (F.lit(total) - F.col("rows")))).withColumn("next", F.lead("r").over(w))
-    ok = d.where((F.col("u") >= F.col("r")) & (F.col("next").isNull() | (F.col("u") < F.col("next")))).agg(F.min("u").alias("u")).first()["u"]
+    d = running(d, "r", ["mass", "n"], descending=False)
+    # with all rows up to r scaled, u = below / (want - rows above); it holds from r to the next size,
+    # and as u - r falls with r, that is the largest r that u still reaches
+    u = F.col("c_mass") / (F.lit(want) - (F.lit(total) - F.col("c_n")))
+    ok = d.withColumn("u", u).where("u >= r").agg(F.max_by("u", "r").alias("u")).first()["u"]
     return float(ok) if ok else 0.0
 
 
@@ -32,7 +35,7 @@ def gradient_based(df: DataFrame, share: float, seed: int, targets: int = 1) ->
     g2 = sum((F.col(f"g{t}") * F.col(f"g{t}") for t in range(targets)), F.lit(0.0))
     h2 = sum((F.col(f"h{t}") * F.col(f"h{t}") for t in range(targets)), F.lit(0.0))
     size = F.sqrt(g2 + 0.1 * h2)
-    u = threshold(df, share, F.round(size, 6))
+    u = threshold(df, share, size)
     p = F.least(F.lit(1.0), size / F.lit(u)) if u else F.lit(1.0)
     draw = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 24)) / F.lit(float(1 << 24))
     kept = df.withColumn("__p", p).withColumn("in_sample", (draw < F.col("__p")) & (F.col("__p") > 0))

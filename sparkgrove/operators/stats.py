@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def quantile(df: DataFrame, value: Column, p: float, by: str | None = None) -> DataFrame:
     """Interpolated quantile by the (n + 1) p rule, per group. Equal values are counted
@@ -24,9 +26,8 @@ def quantile(df: DataFrame, value: Column, p: float, by: str | None = None) -> D
 def weighted_quantile(df: DataFrame, value: Column, weight: Column, p: float) -> DataFrame:
     """The first value whose cumulative weight reaches p of the total."""
     g = df.groupBy(value.alias("v")).agg(F.sum(weight).alias("w"))
-    up = Window.orderBy("v")
-    d = g.withColumns({"cum": F.sum("w").over(up), "total": F.sum("w").over(Window.partitionBy())})
-    return d.agg(F.min(F.when(F.col("cum") >= F.lit(p) * F.col("total"), F.col("v"))).alias("value"))
+    total = g.agg(F.sum("w").alias("w")).first()["w"] or 0
+    return running(g, "v", ["w"], descending=False).agg(F.min(F.when(F.col("c_w") >= F.lit(p * total), F.col("v"))).alias("value"))
 
 
 def residual_scale(df: DataFrame, residual: Column, weight: Column) -> DataFrame:

@@ -17,12 +17,32 @@ from pyspark.sql import functions as F
 
 #: Text handled at once by the numpy stages of a Python worker.
 SLICE_BYTES = 2 << 20
+#: Rows that a Python worker is sent at once.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df; from now on Python workers of its session get at most BATCH_BYTES (or one row) at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+def shielded(df: DataFrame):
+    """df with columns that begin with __ under other names, so that an operator's own
+    columns clash with none, and a function that picks and renames them back."""
+    names, taken, inner = df.columns, {c.lower() for c in df.columns}, []
+    for i, c in enumerate(names):
+        name = c
+        while name.startswith("__") or (name != c and name.lower() in taken):
+            name = f"own{i}_{name.lstrip('_')}"
+        inner.append(name)
+    return df.toDF(*inner), lambda out: out.select(*(F.col(f"`{c}`") for c in inner)).toDF(*names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

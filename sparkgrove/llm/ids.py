@@ -9,7 +9,7 @@ vectorised shift per selector. Blocks are rows of a Parquet table (first doc_id,
 block start in the id stream, words as binary, offsets as binary).
 
 Defined results: a null or empty text has the end id alone; repeated doc_ids keep
-all rows, ordered by doc_id, then text; a null doc_id sorts first; an empty table
+all rows, ordered by doc_id, then a hash of the text; a null doc_id sorts first; an empty table
 gives an empty file; further columns are ignored; texts are never cut.
 """
 
@@ -22,10 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, joined_bytes, n_tasks, shared_dir, slices, text_or_empty, written
+from .common import SLICE_BYTES, bounded, joined_bytes, n_tasks, shared_dir, slices, text_or_empty, written
 
 #: ids per word and bits per id of each selector (fixed values of the format)
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -34,6 +35,14 @@ ESCAPE = 15
 BLOCK_IDS = 1 << 18
 
 
+def _needs(ids: np.ndarray) -> np.ndarray:
+    """The place, among the widths in ascending order, of the narrowest that holds each id."""
+    return sum(((ids >= np.uint64(1 << width)).astype(np.int8) for width in sorted(set(WIDTHS))), np.zeros(len(ids), np.int8))
+
+
+_NEED = _needs(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(ids: np.ndarray) -> np.ndarray:
     """uint64 ids -> uint64 words. At each place the selector that packs most ids is
     taken; all places are judged at once, then the chain of words is followed."""
@@ -43,9 +52,9 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     order = sorted(set(WIDTHS))
     need = np.zeros(n + max(COUNTS), np.int8)  # the narrowest width that holds the id; nothing after the end
-    small = ids.astype(np.uint32) if ids.max() < 1 << 32 else ids  # narrow numbers compare faster
-    for width in order:
-        need[:n] += small >= small.dtype.type(1 << width)
+    need[:n] = _NEED[np.minimum(ids, np.uint64(len(_NEED) - 1)).astype(np.uint32)]
+    if (wide := np.flatnonzero(ids >= len(_NEED))).size:
+        need[wide] = _needs(ids[wide])
     # the widest need among the next c ids, for all c, from shorter spans
     span = {1: need}
     for c in sorted(COUNTS):
@@ -138,46 +147,62 @@ class Encoder:
     other characters after it. The tokenizer's pattern never joins characters across
     such a border, so each distinct piece is encoded once; many are encoded as one
     string and cut by the byte lengths of tokens. Texts with white space outside ASCII
-    are encoded whole. What is known stays for later tasks of the worker."""
+    are encoded whole. Up to KNOWN pieces, in no more than KNOWN_BYTES, stay for later
+    slices of the worker: those that were met most often."""
+
+    KNOWN, KNOWN_BYTES = 1 << 19, 24 << 20
 
-    def __init__(self, path: str, cache: int = 1_500_000):
-        self.tok, self.cache = _tokenizer(path), cache
+    def __init__(self, path: str):
+        self.tok = _tokenizer(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         self.bytes[list(vocab.values())] = [len(t) for t in vocab]  # a character of a byte-level token is a byte
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.bounds, self.used, self.n = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0, 0
-
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while self.n + len(pieces) + 1 > len(self.bounds):
-            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.bounds[self.n + 1 : self.n + 1 + len(pieces)] = self.used + ends
-        self.known.update(zip(pieces, range(self.n, self.n + len(pieces))))
-        self.used += len(ids)
-        self.n += len(pieces)
-
-    def _add(self, pieces: list[bytes]) -> None:
-        white = b" \t\n\x0b\x0c\r"
-        joint = [p for p in pieces if p[0] in white and p[-1] not in white]
-        for k in range(0, len(joint), 1000):
-            part = joint[k : k + 1000]
-            ids = np.array(self.tok.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
-            self._keep(part, ids, np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p) for p in part])) + 1)
-        for p in pieces:
-            if not (p[0] in white and p[-1] not in white):
-                ids = self.tok.encode(p.decode(), add_special_tokens=False).ids
-                self._keep([p], np.array(ids, np.int64), np.array([len(ids)]))
+        self.pieces = pa.array([], pa.large_binary())
+        self.ids, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, pieces: pa.Array) -> np.ndarray:
+        """Encodes new pieces; the place of each among those known."""
+        size = pc.binary_length(pieces).to_numpy()
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)
+        end = np.cumsum(size)
+        joins = _WHITE[data[end - size]] & ~_WHITE[data[end - 1]]
+        order = np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins)))
+        if not joins.all():
+            pieces = pieces.take(pa.array(order))
+            size, data = size[order], np.frombuffer(pieces.buffers()[2], np.uint8)
+            end = np.cumsum(size)
+        cut, n, ids, counts = np.append(0, end), int(joins.sum()), [], []
+        for k in range(0, n, 1000):
+            stop = min(k + 1000, n)
+            got = np.array(self.tok.encode_batch_fast([data[cut[k] : cut[stop]].tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
+            ids.append(got)
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.bytes[got]), cut[k + 1 : stop + 1] - cut[k]) + 1, prepend=0))
+        for k in range(n, len(size)):
+            got = np.array(self.tok.encode(data[cut[k] : cut[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.int64)
+            ids.append(got)
+            counts.append(np.array([len(got)]))
+        place = np.empty(len(order), np.int64)
+        place[order] = len(self.pieces) + np.arange(len(order))
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.ids = np.concatenate((self.ids, *ids)).astype(np.uint32)
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))))
+        self.uses = np.concatenate((self.uses, np.zeros(len(order), np.int64)))
+        return place
+
+    def _trim(self) -> None:
+        if len(self.pieces) <= self.KNOWN and self.pieces.nbytes <= self.KNOWN_BYTES:
+            return
+        best = np.argsort(-self.uses, kind="stable")[: self.KNOWN // 2]
+        size = pc.binary_length(self.pieces).to_numpy()[best]
+        best = np.sort(best[np.cumsum(size) <= self.KNOWN_BYTES // 2])
+        count = np.diff(self.ends)[best]
+        self.ids = self.ids[np.repeat(self.ends[best] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        self.ends = np.append(0, np.cumsum(count))
+        self.pieces, self.uses = self.pieces.take(pa.array(best)), self.uses[best] // 2
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts, each closed by id 0, and the start of each text's."""
-        if len(self.known) > self.cache:
-            self._clear()
+        self._trim()
         data, at = joined_bytes(texts, " ")
         n = len(at) - 1
         white = _WHITE[data]
@@ -195,7 +220,7 @@ class Encoder:
         ends = np.append(starts[1:], len(data))[keep]
         ends = np.minimum(ends, at[doc[keep] + 1] - 1)
         starts, doc = starts[keep], doc[keep]
-        # pieces as an Arrow array of their own, then one code for each distinct piece
+        # pieces as an Arrow array of their own; those not known yet are encoded once each
         sizes = ends - starts
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         take = np.ones(len(data), bool)
@@ -204,12 +229,13 @@ class Encoder:
             take &= ~np.repeat(odd, np.diff(at))
         flat = np.ascontiguousarray(data[take])
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
-        coded = pieces.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        self._add([p for p in names if p not in self.known])
-        slot = np.array(list(map(self.known.__getitem__, names)), np.int64)
-        bounds = self.bounds
-        mine = slot[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
+        mine = pc.fill_null(pc.index_in(pieces, self.pieces), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(mine < 0)
+        if len(new):
+            coded = pieces.take(pa.array(new)).dictionary_encode()
+            mine[new] = self._add(coded.dictionary)[coded.indices.to_numpy()]
+        self.uses += np.bincount(mine, minlength=len(self.uses))
+        bounds = self.ends
         first, count = bounds[mine], bounds[mine + 1] - bounds[mine]
         whole = {int(d): np.array(self.tok.encode(texts[int(d)].as_py(), add_special_tokens=False).ids, np.uint32) for d in np.flatnonzero(odd)}
         per_doc = np.bincount(doc, count, n).astype(np.int64) + 1
@@ -266,8 +292,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Encodes all texts and writes the file of blocks in ascending doc_id order. The
     texts are dealt by ranges of doc_id before they are encoded, so each is encoded once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(n_tasks(docs.sparkSession), F.col("doc_id")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(_blocks(tokenizer_path), BLOCK).write.option("compression", "zstd").parquet(path)
+    rows = bounded(rows).withColumn("h", F.xxhash64("text"))  # many rows of one doc_id (or none) are several ranges, too
+    ordered = rows.repartitionByRange(n_tasks(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").withColumn("part", F.spark_partition_id())
+    ordered.select("doc_id", "text", "part").mapInArrow(_blocks(tokenizer_path), BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, crc_mod, joined_bytes, lower_bytes, runs, slices, text_or_empty, word_spans, _SPACE
+from .common import RollingHash, bounded, crc_mod, joined_bytes, lower_bytes, runs, slices, text_or_empty, word_spans, _SPACE
 
 BUCKETS, RANK, STATS, BINS = 1 << 15, 8, 16, 12
 N_FEATURES = BUCKETS + STATS * BINS
@@ -185,7 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     The model has a fixed size (about 1.2 MB)."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     known = known.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("h", "text", "y").coalesce(1)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("h", "text", "y")
+    # every task joins its own documents; only the sample itself meets in one
+    rows = rows.orderBy("h", "text").limit(train_rows)
     got = rows.mapInArrow(_fit_rows, "model binary").collect()
     if not got:
         return fit(pa.array([], pa.string()), np.zeros(0))
@@ -196,7 +198,7 @@ def scored(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """docs with `score` and `predicted` appended; columns of these names are replaced."""
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    docs = docs.drop("score", "predicted")
+    docs = bounded(docs.drop("score", "predicted"))
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,3 +209,16 @@ def scored(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+
+
+def accepted(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that the classifier accepts, with their columns as they are."""
+    packed = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = packed.value
+        for batch in slices(batches):
+            m, _ = margin(model, *features(text_or_empty(batch.column("text"))), batch.num_rows)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(m.astype(float), -500, 500))) >= threshold))
+
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shielded, written
 
 DIMS = ("source", "lang", "topic")
 SMALL_CELLS, ROUNDS, TEMPER, RATE, FILL_STEPS = 100_000, 12, 0.7, 0.8, 12
@@ -38,7 +38,8 @@ def word_count(text: Column) -> Column:
 def with_cell(docs: DataFrame) -> DataFrame:
     """docs with __source, __lang, __topic and __words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    chars = lambda marks: F.length(text) - F.length(F.translate(text, marks, ""))
+    # marks are ASCII: bytes tell their number, and replace() only searches where translate() looks each character up
+    chars = lambda marks: sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(m), F.lit(""))) for m in marks), F.lit(0))
     d = docs.withColumn("__words", word_count(text)).withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
     w = F.col("__words")
     topic = (F.when(w == 0, "empty").when(chars("|") * 5 >= w, "table").when(chars("!") >= w, "shout").when(chars(MARKS) * 2 >= w, "marked")
@@ -116,8 +117,9 @@ def _with_probability(d: DataFrame, targets: dict[str, DataFrame] | None, rate:
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
-    """The documents that are kept, with the columns of docs."""
-    return mixed(docs, targets, rate).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents that are kept, with the columns of docs, whatever their names."""
+    inner, restored = shielded(docs)
+    return restored(mixed(inner, targets, rate).where("__kept"))
 
 
 def oracle_ctes(docs: str, rate: float = RATE, rounds: int = ROUNDS) -> str:

@@ -18,7 +18,7 @@ MIX_RATE = 0.9
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from labelled rows alone."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

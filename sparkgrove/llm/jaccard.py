@@ -1,28 +1,31 @@
-"""N-gram Jaccard join over a count-vector index.
+"""N-gram Jaccard join over count-vector R-trees.
 
 A document is its set of word shingles. Shingles are hashed into GROUPS groups; the
-group counts are the document's point. The overlap of two sets is at most the sum of
-their coordinate minima, and of a set with a tree node at most the sum of minima with
-the node's upper corner; pairs that pass are verified exactly.
-
-One tree over whole points prunes nothing once counts are spread evenly over groups
-(every node's corner reaches every query), so the forest splits the groups finely
-into bands first: sets whose symmetric difference is at most r agree exactly on one
-of r+1 bands of groups, so each size class has that many trees and a search follows
-only the points that are equal on a band. Inside such a cell, nodes of NODE points
-packed by size carry the corners. Bands that are empty for a document say nothing;
-spare bands make up for them, and documents with too many meet on the empty ones too.
-So no link is lost, whatever the data.
-
-Within a cell only pairs that still can change a component are searched: first every
-point against the cell's busiest, then, after joining components, pairs of different
-components. Equal sets are one point from the start.
+group counts are the set's point. The overlap of two sets is at most the sum of their
+coordinate minima, and that of any sets below two tree nodes at most the sum of minima
+of the nodes' upper corners. Pairs of points that pass are verified on the shingles.
+
+One tree over all points prunes little once counts are spread evenly over groups (every
+corner reaches every query), so sets are routed to a forest first: sets whose symmetric
+difference is at most r agree exactly on one of r+1 bands of groups (pigeonhole), so
+sets that share no band, directly or through others, lie in different trees. Bands that
+are empty for a document say nothing; spare bands make up for them, and documents with
+too many meet on the empty ones too. So no link is lost, whatever the data.
+
+Each tree is packed along a Hilbert curve of the points: leaves of NODE points, FANOUT
+nodes below a node, each with its upper corner and range of sizes. A tree is joined with
+itself from the root down, pairs of nodes at a time. A tree of more than CHUNK points, or
+CHUNK_BYTES, is cut into chunks by hash, and every pair of chunks is a task of its own.
+A task verifies its pairs itself and returns a row for each of its sets: the number of
+links, and the smallest set that its links reach. Every link between different sets is
+found and counted once; pairs are never sent. Equal sets are one point with its number
+of rows.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing;
 a text with fewer than k words has its word sequence as one shingle; rows with a null
-doc_id have a null component; rows that repeat a doc_id are returned each; an empty
-table gives no rows; further columns are ignored; texts are never cut. Sets are told
-apart by 64-bit hashes of shingles and of sets.
+doc_id link like others, but have a null component; rows that repeat a doc_id are
+returned each; an empty table gives no rows; further columns are ignored; texts are
+never cut. Sets are told apart by 64-bit hashes of shingles and of sets.
 """
 
 from __future__ import annotations
@@ -35,11 +38,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import RollingHash, joined_bytes, lower_bytes, mix64, n_tasks, released, slices, text_or_empty, word_spans, written
+from .common import RollingHash, bounded, erased, joined_bytes, lower_bytes, mix64, shielded, slices, text_or_empty, word_spans, written
+from .neighbours import hilbert_keys
 
-GROUPS, NODE, CHUNK = 64, 64, 2048
+GROUPS, NODE, FANOUT, CHUNK = 64, 16, 8, 2048
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +96,7 @@ def _points(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sh, begin = shingle_sets(text_or_empty(batch.column("text")), k)
-            n = len(begin) - 1
-            row = np.repeat(np.arange(n), np.diff(begin))
-            counts = np.bincount(row * GROUPS + (sh >> np.uint64(58)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype("<i4")
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(_per_set(sh, begin).view(np.int64)), pa.array([x.tobytes() for x in counts], pa.binary())],
-                names=["doc_id", "n", "sig", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(_per_set(sh, begin).view(np.int64))], names=["doc_id", "n", "sig"])
 
     return run
 
@@ -191,57 +191,170 @@ def _collisions(t: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)), "sig": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))})
 
 
-def _passes(na, pa_, nb, pb, num, den):
-    """Whether the bound on the overlap allows a link."""
-    most = np.minimum(pa_, pb).sum(-1)
-    return most * (den + num) >= num * (na + nb)
-
+def _levels(points: np.ndarray, n: np.ndarray, side: np.ndarray) -> list[dict]:
+    """Levels of a packed tree, leaves first: corners, least and most sizes, sides below.
+    The points are in packing order."""
+    levels = [{"corner": points, "least": n, "most": n, "lo": side, "hi": side}]
+    width = NODE
+    while len(levels) == 1 or len(levels[-1]["least"]) > FANOUT:
+        below = levels[-1]
+        cut = np.arange(0, len(below["least"]), width)
+        up = lambda f, c: f.reduceat(below[c], cut, axis=0)  # noqa: E731, B023
+        levels.append({"corner": up(np.maximum, "corner"), "least": up(np.minimum, "least"), "most": up(np.maximum, "most"), "lo": up(np.minimum, "lo"), "hi": up(np.maximum, "hi")})
+        width = FANOUT
+    return levels
+
+
+def _reach(level: dict, a: np.ndarray, b: np.ndarray, num: int, den: int, across: bool) -> np.ndarray:
+    """Whether sets below nodes a and b may link: by sizes, then by the overlap that the corners allow."""
+    ok = (level["least"][a] * num <= level["most"][b] * den) & (level["least"][b] * num <= level["most"][a] * den)
+    if across:
+        ok &= (level["lo"][a] != level["hi"][b]) | (level["hi"][a] != level["lo"][b])
+    at = np.flatnonzero(ok)
+    for k in range(0, len(at), 50_000):
+        x, y = a[at[k : k + 50_000]], b[at[k : k + 50_000]]
+        most = np.minimum(level["corner"][x], level["corner"][y]).sum(1)
+        ok[at[k : k + 50_000]] = most * (den + num) >= num * (level["least"][x] + level["least"][y])
+    return ok
+
+
+def _order(points: np.ndarray) -> np.ndarray:
+    """Packing order: a Hilbert curve of four coordinates, each the sum of a quarter of the groups."""
+    four = points.reshape(len(points), 4, -1).sum(2)
+    return np.argsort(hilbert_keys(four * 1023 // max(1, int(four.max())), 10), kind="stable")
+
+
+def tree_pairs(points: np.ndarray, n: np.ndarray, side: np.ndarray, num: int, den: int):
+    """Blocks of pairs (i, j) of different points that pass all bounds, each pair once. Of
+    points of two sides only pairs of both."""
+    order = _order(points)
+    order = order[np.argsort(side[order], kind="stable")]
+    across = side.min() != side.max()
+    levels = _levels(points[order], n[order], side[order])
+    top = np.arange(len(levels[-1]["least"]))
+    a, b = np.triu_indices(len(top))
+    work = [(len(levels) - 1, a, b)]
+    while work:
+        k, a, b = work.pop()
+        ok = _reach(levels[k], a, b, num, den, across)
+        a, b = a[ok], b[ok]
+        if not k:
+            if len(a):
+                yield order[a], order[b]
+            continue
+        width, below = (NODE if k == 1 else FANOUT), len(levels[k - 1]["least"])
+        step = np.arange(width)
+        for c in range(0, len(a), 2000):
+            x = (a[c : c + 2000, None, None] * width + step[:, None]).repeat(width, 2).ravel()
+            y = (b[c : c + 2000, None, None] * width + step).repeat(width, 1).ravel()
+            keep = (x < below) & (y < below) & ((x < y) if k == 1 else (x <= y))
+            work.append((k - 1, x[keep], y[keep]))
+
+
+def _all_pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside runs of rows; runs are short."""
+    own = np.repeat(first + size, size) - 1
+    i = np.arange(len(own)) + np.repeat(first - np.cumsum(size) + size, size)
+    count = own - i
+    return np.repeat(i, count), np.repeat(i + 1 - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _overlaps(code: np.ndarray, begin: np.ndarray, i: np.ndarray, j: np.ndarray, width: int) -> np.ndarray:
+    """Sizes of the intersections of the sets i and j, for pairs sorted by i."""
+    mark, out = np.zeros(width, bool), np.zeros(len(i), np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True])))
+    size = np.diff(begin)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = code[begin[i[a]] : begin[i[a] + 1]]
+        mark[own] = True
+        for k in range(a, b, 4096):
+            other = j[k : min(k + 4096, b)]
+            m = size[other]
+            start = np.cumsum(m) - m
+            at = np.repeat(begin[other] - start, m) + np.arange(int(m.sum()))
+            out[k : k + len(other)] = np.add.reduceat(mark[code[at]].view(np.int8), start, dtype=np.int64)
+        mark[own] = False
+    return out
+
+
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each member's component."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _search(num: int, den: int):
+    """Of one task's trees: links of each set (in rows, its own copies left out) and the
+    smallest set that its links here reach."""
 
-def _bounded(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            point = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, GROUPS)
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ok = _passes(na, point("pa"), nb, point("pb"), num, den)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("tree", "ascending"), ("sig", "ascending")])
+        sig, tree = t["sig"].to_numpy(), t["tree"].to_numpy()
+        once = np.ones(len(sig), bool)
+        once[1:] = (sig[1:] != sig[:-1]) | (tree[1:] != tree[:-1])
+        t = t.filter(pa.array(once))
+        sig, tree, side, copies = (t[c].to_numpy() for c in ("sig", "tree", "side", "copies"))
+        raw = t["shingles"].combine_chunks()
+        n = pc.binary_length(raw).to_numpy().astype(np.int64) // 8
+        sh = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in raw])
+        begin = np.append(0, np.cumsum(n))
+        row = np.repeat(np.arange(len(n)), n)
+        points = np.bincount(row * GROUPS + (sh >> np.uint64(58)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+        names, code = np.unique(sh, return_inverse=True)
+        links, edges = np.zeros(len(n), np.int64), []
+
+        def joined(i, j):
+            if not len(i):
+                return
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            shared = _overlaps(code, begin, i, j, len(names))
+            ok = den * shared >= num * (n[i] + n[j] - shared)
+            i, j = i[ok], j[ok]
+            links[:] += (np.bincount(i, copies[j], len(n)) + np.bincount(j, copies[i], len(n))).astype(np.int64)
+            # what joins these sets is enough of the pairs
+            new = _smallest(len(n), i, j)
+            moved = np.flatnonzero(new != np.arange(len(n)))
+            edges.append((new[moved], moved))
+
+        first = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+        size = np.diff(np.append(first, len(tree)))
+        small = size <= NODE
+        if small.any():
+            flat = {"corner": points, "least": n, "most": n, "lo": side, "hi": side}
+            for k in range(0, int(small.sum()), 4000):
+                i, j = _all_pairs(first[small][k : k + 4000], size[small][k : k + 4000])
+                ok = _reach(flat, i, j, num, den, False)
+                ok &= (side[i] != side[j]) if side.min() != side.max() else True
+                joined(i[ok], j[ok])
+        for a, m in zip(first[~small].tolist(), size[~small].tolist()):
+            for i, j in tree_pairs(points[a : a + m], n[a : a + m], side[a : a + m], num, den):
+                joined(i + a, j + a)
+        label = _smallest(len(n), *(np.concatenate(x) for x in zip(*edges))) if edges else np.arange(len(n))
+        return pa.table({"sig": pa.array(sig), "root": pa.array(sig[label]), "links": pa.array(links), "whole": t["whole"]})
 
     return run
 
 
-def _node_search(num: int, den: int):
-    """Of a cell: pairs of points of different components that pass node and point bounds."""
+BITS = 1 << 26
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n", "ascending"), ("sig", "ascending")])
-        n, sig, comp, side = (t[c].to_numpy() for c in ("n", "sig", "comp", "side"))
-        points = np.frombuffer(b"".join(t["point"].to_pylist()), "<i4").reshape(-1, GROUPS)
-        cut = np.arange(0, len(n), NODE)
-        corner, least = np.maximum.reduceat(points, cut, axis=0), n[cut]
-        across = len(np.unique(side)) > 1
-        a, b = [], []
-        for i in range(len(n)):
-            # partners are not smaller than the point itself, so nodes before its own are out
-            nodes = np.arange(i // NODE, len(cut))
-            nodes = nodes[(least[nodes] * num <= n[i] * den) & (np.minimum(points[i], corner[nodes]).sum(1) * (den + num) >= num * (n[i] + np.maximum(least[nodes], n[i])))]
-            if not len(nodes):
-                continue
-            j = (nodes[:, None] * NODE + np.arange(NODE)).ravel()
-            j = j[(j > i) & (j < len(n))]
-            j = j[(comp[j] != comp[i]) & (n[j] * num <= n[i] * den)]
-            if across:
-                j = j[side[j] != side[i]]
-            j = j[_passes(n[i], points[i], n[j], points[j], num, den)]
-            a.append(np.full(len(j), sig[i]))
-            b.append(sig[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return run
+def _places(ids: pa.Array) -> np.ndarray:
+    """The bit of each doc_id; null counts as 0."""
+    known = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return (mix64(known.view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
 
 
-BITS = 1 << 26
+def _has(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    at = _places(ids)
+    return ((bits[at >> 3] >> (at & 7)) & 1).astype(bool)
 
 
 def _sets(k: int, packed):
@@ -250,9 +363,7 @@ def _sets(k: int, packed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = packed.value
         for batch in slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            at = (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
-            there = np.flatnonzero((bits[at >> 3] >> (at & 7)) & 1)
+            there = np.flatnonzero(_has(bits, batch.column("doc_id")))
             if not len(there):
                 continue
             sh, begin = shingle_sets(text_or_empty(batch.column("text").take(pa.array(there))), k)
@@ -261,33 +372,9 @@ def _sets(k: int, packed):
     return run
 
 
-def _flagged(packed):
-    """Appends whether a row's doc_id has its bit set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = packed.value
-        for batch in batches:
-            ids = batch.column("__id")
-            at = (mix64(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((bits[at >> 3] >> (at & 7)) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False))], names=[*batch.schema.names, "__maybe"])
-
-    return run
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows with a doc_id of gone(doc_id). Only rows whose bit is set in a
-    bitmap of those ids go into the join; the other texts are not dealt out."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    bits = docs.sparkSession.sparkContext.broadcast(marked(gone))
-    d = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    d = d.mapInArrow(_flagged(bits), StructType([*d.schema.fields, StructField("__maybe", BooleanType())]))
-    ids = gone.select(F.col("doc_id").alias("__id"))
-    return d.where("NOT __maybe").select(*names).unionAll(d.where("__maybe").join(ids, "__id", "left_anti").select(*names))
-
-
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = (mix64(batch.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+        at = _places(batch.column("doc_id"))
         yield pa.RecordBatch.from_arrays([pa.array((at >> 5).astype(np.int32)), pa.array(np.int64(1) << (at & 31))], names=["word", "bits"])
 
 
@@ -300,21 +387,6 @@ def marked(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _verified(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((p, q))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(den * shared >= num * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (id, comp): the smallest id of each connected component. Every
     round hooks ids on their smallest neighbour, shortens the chains and contracts."""
@@ -339,69 +411,97 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0)
 
 
-def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id
-    that links reach; two documents link when den * intersection >= num * union."""
+def _parts(spark, volume: float) -> int:
+    """Buckets of about BUCKET_BYTES."""
+    return max(1, -(-int(volume) // BUCKET_BYTES))
+
+
+def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sig) of each row, and of each set that others may link with: sig, root
+    (the set that names its component) and links (rows of other sets)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_points = written(rows.mapInArrow(_points(k), "doc_id long, n long, sig long, point binary"), "jac_points")
-    buckets = 4 * n_tasks(spark)
-    cells = rows.where("doc_id IS NOT NULL").mapInArrow(_bands(k, num, den, buckets), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_collisions, "key long, sig long")
+    rows = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    points = written(rows.mapInArrow(_points(k), "doc_id long, n long, sig long"), "jac_points")
+    of_rows = points.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    # a set sends about r + 3 bands to its own size class, as many to the one below, 16 bytes each
+    volume = 16 * ((of_rows["n"] or 0) * 4.5 * (den - num) / (den + num) + 6 * of_rows["rows"])
+    cells = rows.mapInArrow(_bands(k, num, den, _parts(spark, volume)), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_collisions, "key long, sig long")
     all_cells = written(cells, "jac_cells")
-    released(spark)
-    # close texts meet in many bands: of cells with the same points one is enough
-    same = all_cells.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"))
-    degree = all_cells.groupBy("sig").agg(F.count("*").alias("degree"))
-    cells = all_cells.join(same.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-    cells = written(cells, "jac_distinct_cells")
-    known = all_points.where("doc_id IS NOT NULL AND n > 0")
-    met = cells.select("sig").distinct()
-    points = written(known.join(met, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")), "jac_met")
-    # one document for each point; a second set for a name, or one too many, does no harm
-    bits = spark.sparkContext.broadcast(marked(points.select("doc_id")))
-    sets = rows.where("doc_id IS NOT NULL").mapInArrow(_sets(k, bits), "sig long, shingles binary")
-    sets = written(sets, "jac_sets")
-    side = lambda s: points.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}"))
-    of = lambda s: sets.select(F.col("sig").alias(s), F.col("shingles").alias(f"s{s}"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return written(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified(num, den), "a long, b long"), "jac_links")
-
-    # the point that meets most others leads a cell: of a text and its copies that is the text
-    first = cells.join(degree, "sig").groupBy("key").agg(F.max_by("sig", F.struct("degree", "sig")).alias("a"))
-    stars = cells.join(first, "key").where("sig <> a").select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct()
-    stars = written(stars, "jac_pairs")
-    links = verified(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded(num, den), "a long, b long"))
-    comp = components(links)
-    # cells that still hold several components
-    named = cells.join(comp.withColumnRenamed("id", "sig"), "sig", "left").select("key", "sig", F.coalesce("comp", "sig").alias("comp"))
-    named = written(named, "jac_named")
-    open_cells = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / CHUNK).alias("parts"))
-    # large cells are cut into chunks by hash; a chunk meets each other chunk once
+    # close texts meet in many bands: of cells with the same sets one is enough
+    same = all_cells.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"), F.min("sig").alias("a"))
+    lead = same.groupBy("c", "x", "y").agg(F.min(F.struct("key", "a")).alias("one")).select("one.key", "one.a")
+    # a cell's sets lie in one tree: they all hang on the smallest
+    trees = components(all_cells.join(lead, "key").select("a", F.col("sig").alias("b")))
+    known = points.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))).getField("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    met = written(trees.withColumnRenamed("id", "sig").withColumnRenamed("comp", "tree").join(known, "sig"), "jac_met")
+    erased(all_cells)
+    # one document for each set; a second one for a set, or a set too many, does no harm
+    bits = spark.sparkContext.broadcast(marked(met.select("doc_id")))
+    sets = rows.mapInArrow(_sets(k, bits), "sig long, shingles binary")
+    size = met.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).alias("parts"))
+    many = _parts(spark, 8 * (met.agg(F.sum("n").alias("n")).first()["n"] or 0))
+    met = met.join(size, "tree")
+    # small trees share a task; a chunk of a large one meets each chunk of it once
+    whole = F.col("parts") == 1
     chunk = F.pmod(F.xxhash64("sig"), F.col("parts"))
-    cut = named.join(open_cells, "key").withColumn("side", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
-    cut = cut.join(points.select("sig", "n", "point"), "sig").select("key", "x", "y", "side", "sig", "comp", "n", "point")
-    more = cut.groupBy("key", "x", "y").applyInArrow(_node_search(num, den), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    links2 = verified(more)
-    whole = components(links.unionByName(links2))
-    # from sets back to documents
-    by_set = known.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    by_set = by_set.join(whole.withColumnRenamed("id", "sig"), "sig", "left")
-    least = by_set.where("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("of_comp"))
-    named_sets = by_set.join(least, "comp", "left").where("copies > 1 OR of_comp IS NOT NULL").select("sig", F.coalesce("of_comp", "least").alias("component_id"))
-    named_sets = written(named_sets, "jac_named_sets")
-    out = all_points.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named_sets, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    dealt = met.join(sets, "sig").withColumn("whole", whole).withColumn("side", chunk).withColumn("other", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    dealt = dealt.withColumn("x", F.when(whole, -1).otherwise(F.least("side", "other"))).withColumn("y", F.greatest("side", "other"))
+    dealt = dealt.withColumn("key", F.when(whole, F.pmod(F.xxhash64("tree"), F.lit(many))).otherwise(F.col("tree")))
+    found = dealt.select("key", "x", "y", "side", "tree", "sig", "copies", "whole", "shingles").groupBy("key", "x", "y").applyInArrow(_search(num, den), "sig long, root long, links long, whole boolean")
+    found = written(found, "jac_found")
+    large = found.where("NOT whole")
+    roots = components(large.select(F.col("sig").alias("a"), F.col("root").alias("b"))).withColumnRenamed("comp", "over")
+    links = large.groupBy("sig").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("id", "sig"), "sig", "left").select("sig", F.coalesce("over", "sig").alias("root"), "links")
+    return points, written(found.where("whole").select("sig", "root", "links").unionByName(links), "jac_sets")
+
+
+def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that
+    links reach) and n_links (other rows that it links with, copies included); two
+    documents link when den * intersection >= num * union."""
+    points, sets = linked(docs, k, num, den)
+    by_set = points.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(sets, "sig", "left")
+    named = by_set.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "sig"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = written(named.join(least, "root").select("sig", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "jac_named")
+    out = points.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _named_rows(k: int, packed):
+    """Appends the name of the set of each row whose doc_id has its bit set, else null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            there = _has(packed.value, batch.column("__id"))
+            names = np.zeros(batch.num_rows, np.int64)
+            if there.any():
+                sh, begin = shingle_sets(text_or_empty(batch.column("text").filter(pa.array(there))), k)
+                names[there] = _per_set(sh, begin).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, mask=~there)], names=[*batch.schema.names, "__sig"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; of rows that repeat
-    a doc_id one stays, rows with a null doc_id all stay."""
-    found = written(join_components(docs, k, num, den), "jac_found")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = without(docs, gone)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        repeated = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = repeated.unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """docs with one row of each component: that of the smallest doc_id (a null one comes
+    last), then of the smallest set name, then of the smallest text. Rows without shingles
+    all stay. Texts are not dealt out but for rows whose doc_id has its bit set in a bitmap
+    of the ids concerned."""
+    points, sets = linked(docs, k, num, den)
+    keyed = points.where("n > 0").groupBy("doc_id", "sig").agg(F.count("*").alias("rows")).join(sets.select("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("best_id"), F.col("sig").alias("best_sig"))
+    best = keyed.groupBy("root").agg(F.min(order).alias("best"), F.sum("rows").alias("rows_of_root")).where("rows_of_root > 1")
+    told = keyed.join(best, "root").select("doc_id", "sig", (F.col("doc_id").eqNullSafe(F.col("best.best_id")) & (F.col("sig") == F.col("best.best_sig"))).alias("stays"), "rows").where("NOT stays OR rows > 1")
+    told = written(told.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), "stays"), "jac_told")
+    inner, restored = shielded(docs)
+    packed = docs.sparkSession.sparkContext.broadcast(marked(told.select(F.col("__id").alias("doc_id"))))
+    d = inner.withColumn("__id", F.col("doc_id").cast("long"))
+    d = bounded(d).mapInArrow(_named_rows(k, packed), StructType([*d.schema.fields, StructField("__sig", LongType())]))
+    names = [F.col(f"`{c}`") for c in inner.columns]
+    some = d.where("__sig IS NOT NULL")
+    free = some.join(told, some["__id"].eqNullSafe(told["__id"]) & (some["__sig"] == told["__sig"]), "left_anti").select(*names)
+    again = told.where("stays").select(F.col("__id").alias("__own"), F.col("__sig").alias("__set"))
+    kept = some.join(again, F.col("__id").eqNullSafe(F.col("__own")) & (F.col("__sig") == F.col("__set")), "left_semi")
+    kept = kept.groupBy("__id", "__sig").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
+    return restored(d.where("__sig IS NULL").select(*names).unionAll(free).unionAll(kept))

@@ -27,7 +27,7 @@ def test_stages(spark):
         rows, kept = docs.collect(), {r["doc_id"] for r in out.collect()}
         assert 0 < len(kept) <= before
         if name == "near_duplicates":
-            comp = brute({r["doc_id"]: r["text"] for r in rows}, 5, 80, 100)
+            comp, _ = brute({r["doc_id"]: r["text"] for r in rows}, 5, 80, 100)
             assert kept == {i for i, (_, c) in comp.items() if c == i}
         if name == "decontamination":
             items = [decontaminate.plain_words(r["text"]) for r in table(spark, SF, "benchmark").collect()]

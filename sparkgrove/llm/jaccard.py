@@ -7,10 +7,12 @@ of the nodes' upper corners. Pairs of points that pass are verified on the shing
 
 One tree over all points prunes little once counts are spread evenly over groups (every
 corner reaches every query), so sets are routed to a forest first: sets whose symmetric
-difference is at most r agree exactly on one of r+1 bands of groups (pigeonhole), so
-sets that share no band, directly or through others, lie in different trees. Bands that
-are empty for a document say nothing; spare bands make up for them, and documents with
-too many meet on the empty ones too. So no link is lost, whatever the data.
+difference is at most r agree exactly on one of r+1 bands of groups (pigeonhole) and
+meet in that band's cell. Sets of a cell whose points pass the bound lie in one tree;
+a cell returns a spanning forest of such pairs. Bands that are empty for a document say
+nothing; spare bands make up for them, and documents with too many meet on the empty
+ones too. Long sets fill all groups alike, which loosens the bound; so trees beyond a
+chunk are parted anew by points of FINE groups. So no link is lost, whatever the data.
 
 Each tree is packed along a Hilbert curve of the points: leaves of NODE points, FANOUT
 nodes below a node, each with its upper corner and range of sizes. A tree is joined with
@@ -43,7 +45,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import RollingHash, bounded, erased, joined_bytes, lower_bytes, mix64, shielded, slices, text_or_empty, word_spans, written
 from .neighbours import hilbert_keys
 
-GROUPS, NODE, FANOUT, CHUNK = 64, 16, 8, 2048
+GROUPS, NODE, FANOUT, CHUNK, CELL_CHUNK = 128, 16, 8, 2048, 16_384
+FINE, FINE_CHUNK = 2048, 500  # groups of the points that part large trees, and points of a chunk
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 
 
@@ -92,11 +95,20 @@ def _per_set(sh: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.where(n == 0, np.uint64(0), np.where(sig == 0, np.uint64(1), sig))
 
 
+def _counts(sh: np.ndarray, begin: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The points of sets: how many shingles lie in each group (a power of two of them)."""
+    n = len(begin) - 1
+    row = np.repeat(np.arange(n), np.diff(begin))
+    return np.bincount(row * groups + (sh >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=n * groups).reshape(n, groups)
+
+
 def _points(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sh, begin = shingle_sets(text_or_empty(batch.column("text")), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(_per_set(sh, begin).view(np.int64))], names=["doc_id", "n", "sig"])
+            points = _counts(sh, begin).astype("<i4")
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(_per_set(sh, begin).view(np.int64)), pa.array([x.tobytes() for x in points], pa.binary())], names=["doc_id", "n", "sig", "point"])
 
     return run
 
@@ -211,10 +223,11 @@ def _reach(level: dict, a: np.ndarray, b: np.ndarray, num: int, den: int, across
     if across:
         ok &= (level["lo"][a] != level["hi"][b]) | (level["hi"][a] != level["lo"][b])
     at = np.flatnonzero(ok)
-    for k in range(0, len(at), 50_000):
-        x, y = a[at[k : k + 50_000]], b[at[k : k + 50_000]]
+    block = max(1, (1 << 22) // level["corner"].shape[1])
+    for k in range(0, len(at), block):
+        x, y = a[at[k : k + block]], b[at[k : k + block]]
         most = np.minimum(level["corner"][x], level["corner"][y]).sum(1)
-        ok[at[k : k + 50_000]] = most * (den + num) >= num * (level["least"][x] + level["least"][y])
+        ok[at[k : k + block]] = most * (den + num) >= num * (level["least"][x] + level["least"][y])
     return ok
 
 
@@ -290,23 +303,105 @@ def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _unique(t: pa.Table, by: str) -> pa.Table:
+    """Rows in the order of (by, sig), each once."""
+    t = t.sort_by([(by, "ascending"), ("sig", "ascending")])
+    sig, own = t["sig"].to_numpy(), t[by].to_numpy()
+    once = np.ones(len(sig), bool)
+    once[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+    return t.filter(pa.array(once))
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(len(column), -1)
+
+
+def _forest(flat: dict, first: int, size: int, num: int, den: int):
+    """Edges (i, j) that span the components, under the bound, of one run of points: each
+    point looks once at those not reached yet, so near copies take one look."""
+    left, work = np.arange(first, first + size), []
+    while len(left) or work:
+        if not work:
+            work, left = [left[0]], left[1:]
+        i = work.pop()
+        near = _reach(flat, np.full(len(left), i), left, num, den, False)
+        found, left = left[near], left[~near]
+        yield np.full(len(found), i), found
+        work += found.tolist()
+        if not len(left):
+            return
+
+
+def _cell_forest(num: int, den: int):
+    """Of one task's cells: (a, b) rows that join the sets whose points pass the bound."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = _unique(t, "cell")
+        sig, cell, n = (t[c].to_numpy() for c in ("sig", "cell", "n"))
+        points = _vectors(t["point"])
+        flat = {"corner": points, "least": n, "most": n}
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        size = np.diff(np.append(first, len(cell)))
+        small = size <= NODE
+        edges = []
+        for k in range(0, int(small.sum()), 4000):
+            i, j = _all_pairs(first[small][k : k + 4000], size[small][k : k + 4000])
+            ok = _reach(flat, i, j, num, den, False)
+            edges.append((i[ok], j[ok]))
+        for a, m in zip(first[~small].tolist(), size[~small].tolist()):
+            edges += _forest(flat, a, m, num, den)
+        return _joined(sig, edges)
+
+    return run
+
+
+def _joined(sig: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """A row for each set that the edges (of places) join to a smaller one."""
+    names, own = np.unique(sig, return_inverse=True)
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*edges)) or [(), ()]))
+    label = _smallest(len(names), own[i], own[j])
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return pa.table({"a": pa.array(names[label[moved]], pa.int64()), "b": pa.array(names[moved], pa.int64())})
+
+
+def _fine_forest(num: int, den: int):
+    """Of two chunks of a large tree: rows that join the sets whose fine points pass the bound."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = _unique(t, "tree")
+        n, points = t["n"].to_numpy(), _vectors(t["point"])
+        return _joined(t["sig"].to_numpy(), list(_forest({"corner": points, "least": n, "most": n}, 0, len(n), num, den)))
+
+    return run
+
+
+def _across(num: int, den: int):
+    """Of two chunks of a large cell: rows that join sets of different trees."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = _unique(t, "cell")
+        sig, n, side, tree = (t[c].to_numpy() for c in ("sig", "n", "side", "tree"))
+        edges = []
+        for i, j in tree_pairs(_vectors(t["point"]), n, side, num, den):
+            differ = tree[i] != tree[j]
+            edges.append((i[differ], j[differ]))
+        return _joined(sig, edges)
+
+    return run
+
+
 def _search(num: int, den: int):
     """Of one task's trees: links of each set (in rows, its own copies left out) and the
     smallest set that its links here reach."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("tree", "ascending"), ("sig", "ascending")])
-        sig, tree = t["sig"].to_numpy(), t["tree"].to_numpy()
-        once = np.ones(len(sig), bool)
-        once[1:] = (sig[1:] != sig[:-1]) | (tree[1:] != tree[:-1])
-        t = t.filter(pa.array(once))
+        t = _unique(t, "tree")
         sig, tree, side, copies = (t[c].to_numpy() for c in ("sig", "tree", "side", "copies"))
         raw = t["shingles"].combine_chunks()
         n = pc.binary_length(raw).to_numpy().astype(np.int64) // 8
         sh = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in raw])
         begin = np.append(0, np.cumsum(n))
-        row = np.repeat(np.arange(len(n)), n)
-        points = np.bincount(row * GROUPS + (sh >> np.uint64(58)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+        points = _counts(sh, begin)
         names, code = np.unique(sh, return_inverse=True)
         links, edges = np.zeros(len(n), np.int64), []
 
@@ -357,8 +452,8 @@ def _has(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7)) & 1).astype(bool)
 
 
-def _sets(k: int, packed):
-    """The sets of the documents whose bit is set (and of few others)."""
+def _sets(k: int, packed, groups: int | None = None):
+    """The sets (or their points) of the documents whose bit is set (and of few others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = packed.value
@@ -367,7 +462,8 @@ def _sets(k: int, packed):
             if not len(there):
                 continue
             sh, begin = shingle_sets(text_or_empty(batch.column("text").take(pa.array(there))), k)
-            yield pa.RecordBatch.from_arrays([pa.array(_per_set(sh, begin).view(np.int64)), pa.array([sh[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())], names=["sig", "shingles"])
+            rows = [x.tobytes() for x in _counts(sh, begin, groups).astype("<i4")] if groups else [sh[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(_per_set(sh, begin).view(np.int64)), pa.array(rows, pa.binary())], names=["sig", "point" if groups else "shingles"])
 
     return run
 
@@ -411,35 +507,78 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0)
 
 
-def _parts(spark, volume: float) -> int:
+def _parts(volume: float) -> int:
     """Buckets of about BUCKET_BYTES."""
     return max(1, -(-int(volume) // BUCKET_BYTES))
 
 
+def routed(cells: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, comp): the tree of each set that may link with another of its cell. A cell of
+    more than CELL_CHUNK sets is cut by hash; each chunk holds the cell's first set too, so
+    what is close to that meets at once, and pairs of chunks are searched only for cells
+    that still hold several trees."""
+    dealt = cells.join(points, "sig")
+    many = _parts(cells.count() * (4 * GROUPS + 16))
+    whole, every = F.col("parts") == 1, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    chunk = F.pmod(F.xxhash64("sig"), F.col("parts"))
+    copies = F.when(whole, F.array(F.lit(-1).cast("long"))).when(F.col("sig") == F.col("a"), every).otherwise(F.array(chunk))
+    dealt = dealt.withColumn("chunk", F.explode(copies)).withColumn("key", F.when(whole, F.pmod(F.xxhash64("cell"), F.lit(many))).otherwise(F.col("cell")))
+    edges = dealt.select("key", "chunk", "cell", "sig", "n", "point").groupBy("key", "chunk").applyInArrow(_cell_forest(num, den), "a long, b long")
+    edges = written(edges, "jac_forest")
+    trees = components(edges)
+    large = cells.where("parts > 1")
+    if not large.limit(1).count():
+        return trees
+    named = large.join(trees.withColumnRenamed("id", "sig"), "sig", "left").withColumn("tree", F.coalesce("comp", "sig"))
+    open_ = named.groupBy("cell").agg(F.min("tree").alias("lo"), F.max("tree").alias("hi")).where("lo <> hi").select("cell")
+    cut = named.join(open_, "cell").withColumn("side", chunk).withColumn("other", F.explode(every)).join(points, "sig")
+    cut = cut.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
+    more = cut.select("cell", "x", "y", "side", "tree", "sig", "n", "point").groupBy("cell", "x", "y").applyInArrow(_across(num, den), "a long, b long")
+    return components(edges.unionByName(more))
+
+
+def parted(rows: DataFrame, met: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """met with the trees that points of FINE groups leave; sets that are alone then go."""
+    bits = rows.sparkSession.sparkContext.broadcast(marked(met.select("doc_id")))
+    fine = rows.mapInArrow(_sets(k, bits, FINE), "sig long, point binary")
+    size = met.groupBy("tree").agg(F.ceil(F.count("*") / FINE_CHUNK).alias("parts"))
+    cut = met.join(size, "tree").select("tree", "sig", "n", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    cut = cut.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other")).join(fine, "sig")
+    edges = cut.select("tree", "x", "y", "sig", "n", "point").groupBy("tree", "x", "y").applyInArrow(_fine_forest(num, den), "a long, b long")
+    return met.drop("tree").join(components(edges).withColumnRenamed("id", "sig").withColumnRenamed("comp", "tree"), "sig").select(*met.columns)
+
+
 def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sig) of each row, and of each set that others may link with: sig, root
     (the set that names its component) and links (rows of other sets)."""
     spark = docs.sparkSession
     rows = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    points = written(rows.mapInArrow(_points(k), "doc_id long, n long, sig long"), "jac_points")
+    points = written(rows.mapInArrow(_points(k), "doc_id long, n long, sig long, point binary"), "jac_points")
     of_rows = points.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
     # a set sends about r + 3 bands to its own size class, as many to the one below, 16 bytes each
     volume = 16 * ((of_rows["n"] or 0) * 4.5 * (den - num) / (den + num) + 6 * of_rows["rows"])
-    cells = rows.mapInArrow(_bands(k, num, den, _parts(spark, volume)), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_collisions, "key long, sig long")
+    cells = rows.mapInArrow(_bands(k, num, den, _parts(volume)), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_collisions, "key long, sig long")
     all_cells = written(cells, "jac_cells")
     # close texts meet in many bands: of cells with the same sets one is enough
     same = all_cells.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y"), F.min("sig").alias("a"))
-    lead = same.groupBy("c", "x", "y").agg(F.min(F.struct("key", "a")).alias("one")).select("one.key", "one.a")
-    # a cell's sets lie in one tree: they all hang on the smallest
-    trees = components(all_cells.join(lead, "key").select("a", F.col("sig").alias("b")))
-    known = points.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))).getField("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    met = written(trees.withColumnRenamed("id", "sig").withColumnRenamed("comp", "tree").join(known, "sig"), "jac_met")
+    lead = same.groupBy("c", "x", "y").agg(F.min(F.struct("key", "a")).alias("one")).select("one.key", "one.a", F.ceil(F.col("c") / CELL_CHUNK).alias("parts"))
+    cells = written(all_cells.join(lead, "key").select(F.col("key").alias("cell"), "sig", "a", "parts"), "jac_distinct_cells")
     erased(all_cells)
+    known = points.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))).getField("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("point").alias("point"))
+    known = written(known.join(cells.select("sig").distinct(), "sig"), "jac_met")
+    trees = routed(cells, known.select("sig", "n", "point"), num, den)
+    met = trees.withColumnRenamed("id", "sig").withColumnRenamed("comp", "tree").join(known.drop("point"), "sig")
+    met = written(met, "jac_in_trees")
+    parts = lambda: F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).alias("parts")
+    large = met.groupBy("tree").agg(parts()).where("parts > 1").select("tree")
+    if large.limit(1).count():
+        anew = parted(rows, met.join(large, "tree"), k, num, den)
+        met = written(met.join(large, "tree", "left_anti").unionByName(anew), "jac_in_trees")
     # one document for each set; a second one for a set, or a set too many, does no harm
     bits = spark.sparkContext.broadcast(marked(met.select("doc_id")))
     sets = rows.mapInArrow(_sets(k, bits), "sig long, shingles binary")
-    size = met.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).alias("parts"))
-    many = _parts(spark, 8 * (met.agg(F.sum("n").alias("n")).first()["n"] or 0))
+    size = met.groupBy("tree").agg(parts())
+    many = _parts(8 * (met.agg(F.sum("n").alias("n")).first()["n"] or 0))
     met = met.join(size, "tree")
     # small trees share a task; a chunk of a large one meets each chunk of it once
     whole = F.col("parts") == 1

@@ -67,7 +67,7 @@ def test_large_trees_are_cut(spark, monkeypatch):
     texts = corpus(4)
     df = spark.createDataFrame([(i, t, None, "s", 1, 7, 7) for i, t in texts.items()], DOCS).repartition(5)
     want, links = brute(texts, 3, 90, 100)
-    for name, value in (("CHUNK", 30), ("CHUNK_BYTES", 20_000)):
+    for name, value in (("CHUNK", 30), ("CELL_CHUNK", 9), ("FINE_CHUNK", 7), ("CHUNK_BYTES", 20_000)):
         monkeypatch.setattr(jaccard, name, value)
         found = jaccard.join_components(df, 3, 90, 100).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in found} == {i: (*want[i], links[i]) for i in texts}

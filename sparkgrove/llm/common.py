@@ -3,11 +3,13 @@ column hygiene and vectorised word splitting on Arrow buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +102,8 @@ def text_or_empty(arr: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds at most limit bytes of text (one
-    row at least)."""
+    row at least). What a batch needed goes back to the system: workers live on, and
+    memory that two of them merely keep counts against their executor."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, ends = 0, np.cumsum(sizes)
@@ -109,6 +112,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, sizes, ends
+        returned()
+
+
+@lru_cache(1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def returned() -> None:
+    """Hands free memory back to the operating system, where its library can."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 def joined_bytes(texts: pa.Array, separator: str = " ") -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +171,7 @@ def lower_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.searchsorted(start, at)
 
 
+POWERS = 3 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -161,9 +179,12 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 def _grown(name: str, base: int, n: int) -> np.ndarray:
     got = _powers[name]
     if len(got) < n:
-        full = np.full(max(n, 2 * len(got)), base, np.uint64)
+        full = np.full(-(-n // 65_536) * 65_536, base, np.uint64)
         full[0] = 1
-        got = _powers[name] = np.multiply.accumulate(full, dtype=np.uint64)
+        np.multiply.accumulate(full, dtype=np.uint64, out=full)
+        got = full
+        if len(got) <= POWERS:  # tables for a very long text are not kept
+            _powers[name] = got
     return got[:n]
 
 

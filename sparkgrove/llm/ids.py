@@ -272,7 +272,7 @@ def _blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows of a partition -> blocks of consecutive documents."""
         encoder, docs, kept, size, part, block = worker_encoder(path), [], [], 0, 0, 0
-        for batch in slices(batches, limit=2 * SLICE_BYTES):  # fewer slices look fewer pieces up
+        for batch in slices(batches, limit=3 * SLICE_BYTES // 2):  # fewer slices look fewer pieces up
             ids, begin = encoder.encode(text_or_empty(batch.column("text")))
             part = batch.column("part")[0].as_py()
             for d, a, b in zip(batch.column("doc_id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):

@@ -17,6 +17,7 @@ are ignored; texts are never cut.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -153,13 +154,29 @@ def detections(low: str) -> list[tuple[int, int, str, int]]:
     for i in active:
         label, priority, _, pattern = table[i]
         hits += [(-priority, m.start() - m.end(), i, m.start(), m.end(), label) for m in pattern.finditer(low)]
-    kept: list[tuple[int, int, str, int]] = []
+    return suppressed(hits)
+
+
+def suppressed(hits: list[tuple]) -> list[tuple[int, int, str, int]]:
+    """Of (-priority, -length, rule, start, end, label) those that lie in no better one. The
+    widest spans kept so far have rising starts and ends, so one of them tells: the last
+    that starts no later."""
+    kept, starts, ends = [], [], []
     for minus, _, _, a, b, label in sorted(hits):
-        if not any(x <= a and b <= y for x, y, _, _ in kept):
-            kept.append((a, b, label, -minus))
+        at = bisect_right(starts, a)
+        if at and ends[at - 1] >= b:
+            continue
+        kept.append((a, b, label, -minus))
+        first, last = bisect_left(starts, a), bisect_right(ends, b)
+        starts[first : max(first, last)], ends[first : max(first, last)] = [a], [b]  # spans inside the new one go
     return sorted(kept)
 
 
+def every_detection(low: str) -> list[tuple[int, int, str, int]]:
+    """What detections() gives without its gate, for tests."""
+    return suppressed([(-p, m.start() - m.end(), i, m.start(), m.end(), label) for i, (label, p, _, pattern) in enumerate(rules()) for m in pattern.finditer(low)])
+
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start:long,stop:long,label:string,priority:int>>"
 
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkgrove.llm import chat, ids, licenses, quality
@@ -155,3 +156,40 @@ def test_license_keywords_are_in_every_match():
         text = re.sub(r".\?", "", text, flags=re.S)
         assert pattern.search(text), (pattern.pattern, text)
         assert all(w in text for w in keywords.split()), (keywords, text)
+
+
+_PARTS = sorted({w for _, _, keywords, _ in licenses.rules() for w in keywords.split()} | {"the", "gnu", "version", "v2", "3.0", "2.0", "or", "later", "cc", "by", "sa", "4.0", "creative", "commons", "attribution", "under", "copyright", "2020", "(c)", "spdx-license-identifier:", "x"})
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.sampled_from(_PARTS), st.sampled_from([" ", "\n", "-", "  ", ", ", "\n * ", ""])), max_size=30))
+def test_the_gate_loses_nothing(parts):
+    text = "".join(a + b for a, b in parts)
+    assert licenses.detections(text) == licenses.every_detection(text)
+
+
+def test_gate_on_signatures():
+    for _, _, keywords, pattern in licenses.rules():
+        text = "; ".join(["gnu general public license v2 or later, " + keywords.replace(" ", "\n"), "mit license", keywords])
+        assert licenses.detections(text) == licenses.every_detection(text)
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 30), st.integers(1, 12)), max_size=40))
+def test_suppression(spans):
+    hits = [(-p, -n, i, a, a + n, str(i)) for i, (p, a, n) in enumerate(spans)]
+    kept = []
+    for minus, _, _, a, b, label in sorted(hits):
+        if not any(x <= a and b <= y for x, y, _, _ in kept):
+            kept.append((a, b, label, -minus))
+    assert licenses.suppressed(hits) == sorted(kept)
+
+
+def test_repeated_rows_are_scored_each(spark):
+    rows = [(7, "Released under the MIT\nLicense", None), (7, "Released under the MIT\nLicense", None), (None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, labels string")
+    got = licenses.scan(d).collect()
+    assert sorted((str(r["doc_id"]), r["labels"]) for r in got) == [("7", "mit"), ("7", "mit"), ("None", "")]
+    model = quality.fit(pa.array([], pa.string()), np.zeros(0))
+    assert [r["score"] for r in quality.scored(d, model).collect()] == [0.5] * 3
+    assert quality.accepted(d.withColumn("score", F.lit(9)), model).columns == [*d.columns, "score"]

@@ -46,9 +46,12 @@ def shielded(df: DataFrame):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only a local
+    session, which has one machine, gets a temporary one where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="grove_shared_")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -728,6 +728,10 @@ query("model_roundtrip", ORACLE_SQL["predict_margin"])(
     lambda spark, d: Model.from_json(fixed_model().to_json()).with_margin(_fixed_rows(spark, d)).select("l_orderkey", "l_partkey", r6("m0").alias("margin")))
 
 
+query("model_ubjson", ORACLE_SQL["predict_margin"])(
+    lambda spark, d: Model.from_ubj(fixed_model().to_ubj()).with_margin(_fixed_rows(spark, d)).select("l_orderkey", "l_partkey", r6("m0").alias("margin")))
+
+
 def _large_backend(spark, d):
     m = fixed_model()
     return m._mapped(_fixed_rows(spark, d), lambda m, x, b: m.numpy_margin(x, b), ["m0"]).select("l_orderkey", "l_partkey", r6("m0").alias("margin"))

@@ -409,6 +409,23 @@ class Model:
             out.trees.append(Tree([Node(**{**x, "cats": tuple(x["cats"])}) for x in t["nodes"]], t["group"], t["iteration"], t["weight"]))
         return out
 
+    def to_ubj(self) -> bytes:
+        """The document of to_json in its binary form."""
+        from ..sources import ubjson
+
+        return ubjson.dumps(json.loads(self.to_json()))
+
+    @classmethod
+    def from_ubj(cls, raw: bytes) -> Model:
+        from ..sources import ubjson
+
+        return cls.from_json(json.dumps(ubjson.loads(raw)))
+
+    def category_table(self, spark: SparkSession) -> DataFrame:
+        """feature, code, category: the dictionaries the model was trained with."""
+        rows = [(f, code, value) for f, values in self.categories.items() for code, value in enumerate(values)]
+        return spark.createDataFrame(rows, "feature string, code int, category string")
+
     def save(self, spark: SparkSession, path: str) -> None:
         """A one-row table, so that any store that Spark writes will do."""
         spark.createDataFrame([(self.to_json(),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)

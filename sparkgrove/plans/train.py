@@ -20,6 +20,7 @@ from .linear import linear_round
 from .model import Model, Tree
 
 CHECKPOINT_ROUNDS = 10
+EXACT_VALUES = 4_000_000  # distinct values of all features that tree_method exact takes
 
 
 class Callback:
@@ -114,9 +115,10 @@ def evaluate(model: Model, table: DataFrame, names: list, custom_metric=None, it
 
 
 def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureSpec | None = None, features: list[str] | None = None, label="label", evals: list[tuple[DataFrame, str]] | None = None, obj=None,
-          early_stopping_rounds: int | None = None, evals_result: dict | None = None, init_model: Model | None = None, callbacks: list[Callback] | None = None, custom_metric=None, maximize: bool | None = None) -> Model:
+          early_stopping_rounds: int | None = None, evals_result: dict | None = None, init_model: Model | None = None, callbacks: list[Callback] | None = None, custom_metric=None, maximize: bool | None = None, ref: Model | None = None) -> Model:
     """Trains a model on df. Everything at the scale of rows is a DataFrame step; the
-    driver sees cut tables, histograms of a level and nodes."""
+    driver sees cut tables, histograms of a level and nodes. With ref, hist takes the cuts
+    of that model, as a validation table takes those of its training table."""
     p = P.resolve(params | ({"objective": obj} if obj is not None else {}))
     spec = spec or FeatureSpec(tuple(features or [c for c in df.columns if c not in ("label", "weight", "qid", "row_id", "base_margin", "label_lower", "label_upper")]), label=label,
                                **{k: k for k in ("weight", "qid", "base_margin", "label_lower", "label_upper", "row_id") if k in df.columns})
@@ -157,7 +159,14 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
         work = model.with_margin(table)
         exact_values, cuts = None, None
         if p["booster"] == "gbtree" and p["tree_method"] != "approx":
-            if p["tree_method"] == "exact":
+            if ref is not None and ref.cuts and p["tree_method"] != "exact":
+                if ref.features != list(spec.features):
+                    raise ValueError("ref was trained on other features")
+                cuts = ref.cuts
+            elif p["tree_method"] == "exact":
+                values = C.long(table, list(spec.features)).select("fidx", "value").distinct().count()
+                if values > EXACT_VALUES:  # each is a candidate that the driver holds
+                    raise ValueError(f"tree_method exact handles up to {EXACT_VALUES} distinct values, not {values}; use hist")
                 cuts = C.cut_lists(C.exact_cuts(C.long(table, list(spec.features)).groupBy("fidx", "value").agg(F.sum("w").alias("w")), 1 << 30), len(spec.features))
                 low = table.agg(*(F.min(f).alias(f) for f in spec.features)).first()
                 exact_values = [[low[f], *c[:-1]] if low[f] is not None else [0.0] for f, c in zip(spec.features, cuts)]

@@ -215,3 +215,24 @@ def folds(table: DataFrame, k: int, seed: int = 0, stratified: bool = False) ->
         nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id"))
         return table.withColumn("fold", F.pmod(nth, F.lit(k)).cast("int"))
     return table.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+
+
+#: kinds of a feature map: indicator, quantity, integer, float, categorical
+FEATURE_KINDS = ("i", "q", "int", "float", "c")
+
+
+def feature_map(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Names and kinds of features, by number, from a file of lines `number name kind`. The
+    file is read by Spark; it has one line for each feature."""
+    rows = {}
+    for r in spark.read.text(path).collect():
+        if not (line := r["value"].split()):
+            continue
+        if len(line) != 3 or not line[0].isdigit() or line[2] not in FEATURE_KINDS:
+            raise ValueError(f"not a line of a feature map: {r['value']!r}")
+        if int(line[0]) in rows:
+            raise ValueError(f"feature {line[0]} is named twice")
+        rows[int(line[0])] = (line[1], line[2])
+    if sorted(rows) != list(range(len(rows))):
+        raise ValueError("feature numbers must run from 0 without gaps")
+    return [rows[i][0] for i in range(len(rows))], [rows[i][1] for i in range(len(rows))]

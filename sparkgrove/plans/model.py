@@ -278,6 +278,13 @@ class Model:
         fn = (lambda m, x, b: m.numpy_saabas(x, b, iteration_range)) if approximate else (lambda m, x, b: m.numpy_shap(x, b, iteration_range))
         return self._mapped(df, fn, [f"c{k}" for k in range(self.outputs)], "array<double>")
 
+    def shap_values(self, df: DataFrame, iteration_range=None) -> DataFrame:
+        """df with shap0.. (per output an array of one value for each feature) and
+        expected0.. (the bias), as explanation plots take them."""
+        n = len(self.features)
+        d = self.contributions(df, iteration_range=iteration_range)
+        return d.withColumns({name: c for k in range(self.outputs) for name, c in ((f"shap{k}", F.slice(f"c{k}", 1, n)), (f"expected{k}", F.col(f"c{k}")[n]))}).drop(*(f"c{k}" for k in range(self.outputs)))
+
     def _path_columns(self, df, iteration_range) -> list[Column]:
         n = len(self.features)
         base = F.coalesce(F.col("base_margin"), F.lit(self.base[0])) if "base_margin" in df.columns else F.lit(float(self.base[0]))

@@ -122,3 +122,11 @@ def test_feature_maps(spark, tmp_path):
         (tmp_path / "bad.txt").write_text(text)
         with pytest.raises(ValueError):
             frames.feature_map(spark, str(tmp_path / "bad.txt"))
+
+
+def test_shap_values_add_up(spark):
+    m = fixed_model()
+    df = spark.createDataFrame([(float(q), q / 100, q % 7 * 1.0) for q in range(1, 50, 6)], "l_quantity double, l_tax double, l_line double")
+    got = m.with_margin(m.shap_values(df)).collect()
+    assert all(len(r["shap0"]) == 3 and sum(r["shap0"]) + r["expected0"] == pytest.approx(r["m0"]) for r in got) and len(got) == 9
+    assert "c0" not in got[0].asDict()

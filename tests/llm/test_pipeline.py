@@ -44,3 +44,23 @@ def test_stages(spark):
         at += len(x)
     assert got == want
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == set(want)
+
+
+def test_odd_tables(spark):
+    """Nulls, empty, long and repeated texts, clashing names and an empty table pass every stage."""
+    some = table(spark, SF, "documents").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], 1.5, i, "x", "y") for i, r in enumerate(some)]
+    odd = [(None, None), (None, "a b"), (10**6, None), (10**6, ""), (10**6 + 1, "word " * 50_000), (some[0]["doc_id"], some[0]["text"]), (some[0]["doc_id"], "other words here " * 9), (-5, "\n\t ")]
+    rows += [(i, t, None, None, None, None, 100 + k, None, None) for k, (i, t) in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, __words int, __id string, __leaks string")
+    given = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert none.count() == 0
+        if name == "token_ids":
+            assert out.count() == len(given)
+        else:
+            kept = [tuple(r) for r in out.collect()]
+            assert out.columns == docs.columns == none.columns and len(kept) == len(set(kept)) and set(kept) <= given
+            if name == "near_duplicates":  # of the two rows of one id and text one stays, rows without words all stay
+                assert len([r for r in kept if r[:2] == (some[0]["doc_id"], some[0]["text"])]) == 1 and len([r for r in kept if not (r[1] or "").strip()]) == 4

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import params as P
+from . import twins
 from .functions import scalar as S
 from .operators import cuts as C
 from .operators import metrics as M
@@ -495,7 +496,7 @@ def _train_binary_stump(spark, d):
 
 
 def _history(spark, r: dict) -> DataFrame:
-    return spark.createDataFrame([(s, k, i, float(x)) for s, ms in r.items() for k, v in ms.items() for i, x in enumerate(v)], "data string, metric string, round int, value double")
+    return spark.createDataFrame([(s, k, i, round(float(x), 6)) for s, ms in r.items() for k, v in ms.items() for i, x in enumerate(v)], "data string, metric string, round int, value double")
 
 
 def _trained(params, rounds, rows, features=FEATURES, **kw):
@@ -768,10 +769,35 @@ def _source_libsvm(spark, d):
 
 
 QUERIES |= {
-    "train_continue": lambda spark, d: train({"objective": "binary:logistic", "max_depth": 2}, _lines(spark, d), 1, features=FEATURES, init_model=train({"objective": "binary:logistic", "max_depth": 2}, _lines(spark, d), 1, features=FEATURES)).node_table(spark),
+    "train_continue": lambda spark, d: _trained({"objective": "binary:logistic", "max_depth": 2}, 1, _lines, init_model=train({"objective": "binary:logistic", "max_depth": 2}, _lines(spark, d), 1, features=FEATURES))(spark, d),
     "train_update": lambda spark, d: train({"objective": "binary:logistic", "process_type": "update", "updater_seq": "refresh,prune"}, _lines(spark, d), 1, features=FEATURES, init_model=train({"objective": "binary:logistic", "max_depth": 2}, _lines(spark, d), 1, features=FEATURES)).node_table(spark),
     "train_absolute": _trained({"objective": "reg:absoluteerror", "max_depth": 2}, 2, lambda s, d: _lines(s, d).withColumn("label", F.col("l_quantity") * F.col("l_discount"))),
     "train_cox": _trained({"objective": "survival:cox", "max_depth": 2}, 2, lambda s, d: t(s, d, "orders").select(_k().alias("row_id"), F.expr(_COX_Y).alias("label"), (_k() % 7).cast("double").alias("f0"), (_k() % 5).cast("double").alias("f1")), features=["f0", "f1"]),
     "train_categorical": _trained({"objective": "binary:logistic", "max_depth": 3}, 2, lambda s, d: t(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), "l_linestatus", "l_quantity"), features=["l_linestatus", "l_quantity"]),
     "cuts_export": lambda spark, d: spark.createDataFrame([(i, b, float(c)) for i, x in enumerate(train({"max_depth": 1, "max_bin": 16}, _lines(spark, d), 1, features=FEATURES).cuts) for b, c in enumerate(x)], "fidx int, bin int, cut double"),
 }
+
+# ---- training in SQL
+
+_SRC = f"SELECT l_quantity AS f0, l_discount AS f1, {_TAXM} AS f2, {{}} AS y FROM lineitem"
+_FLAG, _THREE, _PRODUCT = "CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END", "CAST(CAST(l_quantity AS INTEGER) % 3 AS DOUBLE)", "CAST(l_quantity * l_discount AS DOUBLE)"
+_SRC_CAT = f"SELECT CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS f0, l_quantity AS f1, {_FLAG} AS y FROM lineitem"
+ORACLE_SQL |= {
+    "train_binary_10": twins.boosted(_SRC.format(_FLAG), 3, twins.LOGISTIC, 10, 4),
+    "train_approx": twins.boosted(_SRC.format(_FLAG), 3, twins.LOGISTIC, 2, 3),
+    "train_exact": twins.boosted(_SRC.format(_FLAG), 3, twins.SQUARED, 2, 3),
+    "train_lossguide": twins.boosted(_SRC.format(_FLAG), 3, twins.LOGISTIC, 2, 5, best_first=True),
+    "train_constraints": twins.boosted(_SRC.format(_FLAG), 3, twins.LOGISTIC, 2, 3, monotone={0: 1, 1: -1}, sets={0: 0, 1: 0, 2: 1}),
+    "train_softprob": twins.boosted(_SRC.format(_THREE), 3, twins.softmax(3), 2, 2),
+    "train_vector_leaf": twins.boosted(_SRC.format(_THREE), 3, twins.softmax(3), 2, 2, vector=True),
+    "train_quantile": twins.boosted(_SRC.format(_PRODUCT), 3, twins.quantiles(0.2, 0.8), 2, 2),
+    "train_absolute": twins.boosted(_SRC.format(_PRODUCT), 3, twins.ABSOLUTE, 2, 2),
+    "train_categorical": twins.boosted(_SRC_CAT, 2, twins.LOGISTIC, 2, 3),
+    "train_linear": twins.linear(_SRC.format(_FLAG), 3, 4),
+    "train_early_stop": twins.stopped(twins.boosted(_SRC.format(_FLAG), 3, twins.LOGISTIC, 8, 2, eta=1.0), 2),
+    "train_continue": f"SELECT data, metric, 0 AS round, value FROM ({twins.boosted(_SRC.format(_FLAG), 3, twins.LOGISTIC, 2, 2)}) WHERE round = 1",
+    "cuts_export": f"""WITH l AS ({_SRC.format("0")}), x AS (SELECT 0 AS fidx, f0 AS v FROM l UNION ALL SELECT 1, f1 FROM l UNION ALL SELECT 2, f2 FROM l), g AS (SELECT fidx, v, count(*) AS w FROM x WHERE v IS NOT NULL GROUP BY ALL),
+ c AS (SELECT *, row_number() OVER (PARTITION BY fidx ORDER BY v) AS nth, count(*) OVER (PARTITION BY fidx) AS n, sum(w) OVER (PARTITION BY fidx ORDER BY v) AS cum, sum(w) OVER (PARTITION BY fidx) / 16 AS step FROM g),
+ p AS (SELECT fidx, v AS cut FROM c WHERE nth > 1 AND (n <= 16 OR greatest(ceil((cum - w) / step), 1) <= least(ceil(cum / step) - 1, 15)) UNION ALL SELECT fidx, max(v) + (abs(max(v)) + 1e-5) FROM c GROUP BY fidx)
+ SELECT fidx, CAST(row_number() OVER (PARTITION BY fidx ORDER BY cut) - 1 AS INTEGER) AS bin, cut FROM p""",
+}

@@ -45,7 +45,7 @@ def quantiles(low: float, high: float) -> Loss:
     x = [f"((m{j} - y) / (0.04 * s{j}))" for j in (0, 1)]
     miss = [f"CASE WHEN y >= {p} THEN {a} * (y - {p}) ELSE (1 - {a}) * ({p} - y) END" for p, a in (("least(m0, m1)", low), ("greatest(m0, m1)", high))]
     return Loss(tuple(f"0.5 * s{j} * (tanh({x[j]}) + 1 - 2 * {a})" for j, a in enumerate((low, high))), tuple(f"greatest(CASE WHEN {v} = 0 THEN 1 ELSE tanh({v}) / {v} END, 3e-4) / 0.08" for v in x),
-                ("0.0::DOUBLE", "0.0::DOUBLE"), "quantile", f"sum(n * ({miss[0]} + {miss[1]}) / 2) / sum(n)", True, True)
+                ("max(0.0::DOUBLE)", "max(0.0::DOUBLE)"), "quantile", f"sum(n * ({miss[0]} + {miss[1]}) / 2) / sum(n)", True, True)
 
 
 def boosted(source: str, features: int, loss: Loss, rounds: int, steps: int, eta: float = 0.3, vector: bool = False, best_first: bool = False,

@@ -33,33 +33,67 @@ class Split:
     is_cat: bool = False
 
 
-def histogram(df: DataFrame, n_features: int, n_bins: list[int], targets: int = 1) -> DataFrame:
-    """df(node, b0.., g0.., h0..) -> (node, fidx, bin, s: array of g and h sums)."""
+class Router:
+    """The nodes that rows reach in a growing tree, found for whole batches at once."""
+
+    def __init__(self, nodes: list, width: int):
+        self.split = np.array([x.left >= 0 for x in nodes])
+        self.feature, self.bin = np.array([x.fidx for x in nodes]), np.array([x.bin for x in nodes])
+        self.left, self.right, self.missing_left = np.array([x.left for x in nodes]), np.array([x.right for x in nodes]), np.array([x.default_left for x in nodes])
+        self.is_cat = np.array([x.is_cat for x in nodes])
+        self.cats = np.zeros((len(nodes) if self.is_cat.any() else 1, width), bool)
+        for n in np.flatnonzero(self.is_cat):
+            self.cats[n, list(nodes[n].cats)] = True
+
+    def __call__(self, bins: list[np.ndarray], rows: int) -> np.ndarray:
+        """bins: one array for each feature, -1 where the cell is missing."""
+        node, cells = np.zeros(rows, np.int64), np.stack(bins) if self.split[0] else None
+        at = np.arange(rows) if self.split[0] else np.empty(0, np.int64)
+        while len(at):
+            n = node[at]
+            b = cells[self.feature[n], at]
+            right = b > self.bin[n]
+            if self.is_cat.any():
+                right = np.where(self.is_cat[n], self.cats[np.where(self.is_cat[n], n, 0), np.maximum(b, 0)], right)
+            node[at] = np.where(np.where(b < 0, ~self.missing_left[n], right), self.right[n], self.left[n])
+            at = at[self.split[node[at]]]
+        return node
+
+
+def histogram(df: DataFrame, n_features: int, n_bins: list[int], targets: int = 1, route: Router | None = None, wanted: list[int] | None = None) -> DataFrame:
+    """df(node, b0.., g0.., h0..) -> (node, fidx, bin, sums of g and h). With route, rows are
+    sent through the tree by it, in place of the column node, and only the wanted nodes are
+    summed: the plan is the same at every level, and a task keeps one array for them."""
     width = max(n_bins)
     names = [f"{c}{t}" for t in range(targets) for c in "gh"]
 
     def run(batches):
-        sums: dict[int, np.ndarray] = {}
+        slots = {n: i for i, n in enumerate(wanted)} if route else {}
+        sums = np.zeros((len(slots), n_features, width, len(names)))
+        slot_of = np.full(len(route.split), -1) if route else None
+        for n, i in slots.items():
+            slot_of[n] = i
         for batch in batches:
-            node = batch.column("node").to_numpy()
+            bins = [pc.fill_null(batch.column(f"b{f}"), -1).to_numpy() for f in range(n_features)]
+            if route:
+                slot = slot_of[route(bins, batch.num_rows)]
+            else:
+                ids, slot = np.unique(batch.column("node").to_numpy(), return_inverse=True)
+                slot = np.array([slots.setdefault(n, len(slots)) for n in ids.tolist()], np.int64)[slot]
+                sums = np.concatenate([sums, np.zeros((len(slots) - len(sums), *sums.shape[1:]))])
             vals = [batch.column(c).to_numpy() for c in names]
-            ids, inv = np.unique(node, return_inverse=True)
-            total = np.zeros((len(ids), n_features, width, len(names)))
-            for f in range(n_features):
-                b = batch.column(f"b{f}")
-                there = b.is_valid().to_numpy(zero_copy_only=False)
-                cell = inv[there] * width + pc.fill_null(b, 0).to_numpy()[there]
+            for f, b in enumerate(bins):
+                there = (slot >= 0) & (b >= 0)
+                cell = slot[there] * width + b[there]
                 for k, v in enumerate(vals):
-                    total[:, f, :, k] += np.bincount(cell, v[there], len(ids) * width).reshape(len(ids), width)
-            for i, n in enumerate(ids.tolist()):
-                sums[n] = sums[n] + total[i] if n in sums else total[i]
-        for n, s in sums.items():
-            f, b = np.nonzero(s.any(2))
+                    sums[:, f, :, k] += np.bincount(cell, v[there], len(slots) * width).reshape(len(slots), width)
+        for n, i in slots.items():
+            f, b = np.nonzero(sums[i].any(2))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(f), n, np.int32)), pa.array(f.astype(np.int32)), pa.array(b.astype(np.int32)), *(pa.array(s[f, b, k]) for k in range(len(names)))], names=["node", "fidx", "bin", *names])
+                pa.array(np.full(len(f), n, np.int32)), pa.array(f.astype(np.int32)), pa.array(b.astype(np.int32)), *(pa.array(sums[i, f, b, k]) for k in range(len(names)))], names=["node", "fidx", "bin", *names])
 
-    cols = ["node", *(f"b{f}" for f in range(n_features)), *names]
-    part = df.select(*(F.col(c).cast("int") if c == "node" or c[0] == "b" else F.col(c).cast("double") for c in cols)).mapInArrow(run, "node int, fidx int, bin int, " + ", ".join(f"{c} double" for c in names))
+    cols = [*([] if route else ["node"]), *(f"b{f}" for f in range(n_features)), *names]
+    part = df.selectExpr(*(f"cast({c} AS {'int' if c == 'node' or c[0] == 'b' else 'double'}) AS {c}" for c in cols)).mapInArrow(run, "node int, fidx int, bin int, " + ", ".join(f"{c} double" for c in names))
     return part.groupBy("node", "fidx", "bin").agg(*(F.sum(c).alias(c) for c in names))
 
 

@@ -6,10 +6,10 @@ import heapq
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.splits import DRIVER_CELLS, Finder, Split, dense, histogram, search_distributed
+from ..operators.splits import DRIVER_CELLS, Finder, Router, Split, dense, histogram, search_distributed
 from .model import Node, Tree
 
 
@@ -67,22 +67,11 @@ def grow(df: DataFrame, params: dict, cuts: list[list[float]], categorical: set[
         w = finder.weight(s[0::2], s[1::2], *bounds[n])
         nodes[n].cover, nodes[n].base_weight, nodes[n].leaf = float(s[1::2].mean()), float(w[0]), [float(eta * x) for x in w]
 
-    def move(done: list[int]) -> Column:
-        """Rows of the split nodes go to their children."""
-        out = None
-        for n in done:
-            x = nodes[n]
-            b = F.col(f"b{x.fidx}")
-            right = b.isin(list(x.cats)) if x.is_cat else b > F.lit(x.bin)
-            to = F.when(b.isNull(), x.left if x.default_left else x.right).when(right, x.right).otherwise(x.left)
-            out = F.when(F.col("node") == n, to) if out is None else out.when(F.col("node") == n, to)
-        return out.otherwise(F.col("node"))
-
-    def best_of(placed: DataFrame, fresh: list[int]) -> dict[int, Split]:
+    def best_of(fresh: list[int]) -> dict[int, Split]:
         """Best splits of new nodes: histograms of the smaller siblings, the others by difference."""
         feats = {n: sorted(set(columns.at(tree.depth(n))) & allowed_features(paths[n], params["interaction_constraints"], nf)) for n in fresh}
         if len(fresh) * nf * width > DRIVER_CELLS:
-            h = histogram(placed.where(F.col("node").isin(fresh)), nf, n_bins, targets)
+            h = histogram(rows, nf, n_bins, targets, Router(nodes, width), fresh)
             return search_distributed(h, finder, {n: total[n] for n in fresh}, feats, bounds)
         build = []
         for n in fresh:
@@ -90,7 +79,7 @@ def grow(df: DataFrame, params: dict, cuts: list[list[float]], categorical: set[
             twin = (nodes[p].left + nodes[p].right - n) if p >= 0 else -1
             if p < 0 or p not in hists or twin not in fresh or total[n][1::2].sum() < total[twin][1::2].sum() or (total[n][1::2].sum() == total[twin][1::2].sum() and n == nodes[p].left):
                 build.append(n)
-        got = dense(histogram(placed.where(F.col("node").isin(build)), nf, n_bins, targets).collect(), nf, width, targets)
+        got = dense(histogram(rows, nf, n_bins, targets, Router(nodes, width), build).collect(), nf, width, targets)
         for n in build:
             hists[n] = got.get(n, np.zeros((nf, width, 2 * targets)))
         for n in fresh:
@@ -130,9 +119,9 @@ def grow(df: DataFrame, params: dict, cuts: list[list[float]], categorical: set[
         return [x.left, x.right]
 
     settle(0)
-    placed, leaves, where = rows.withColumn("node", F.lit(0)), 1, []
+    leaves = 1
     most = params["max_leaves"] or (1 << 31)
-    ready = best_of(placed, [0])
+    ready = best_of([0])
     if params["grow_policy"] == "depthwise":
         level = ready
         while level:
@@ -144,11 +133,9 @@ def grow(df: DataFrame, params: dict, cuts: list[list[float]], categorical: set[
                     leaves += 1
             if not done:
                 break
-            where.append(list(done))
-            placed = placed.withColumn("node", move(done))
             fresh = [c for n in done for c in (nodes[n].left, nodes[n].right)]
             open_ = [c for c in fresh if (not params["max_depth"] or tree.depth(c) < params["max_depth"]) and total[c][1::2].sum() > 0]
-            level = best_of(placed, open_) if open_ and leaves < most else {}
+            level = best_of(open_) if open_ and leaves < most else {}
     else:
         heap = [(-s.gain, n, s) for n, s in ready.items()]
         heapq.heapify(heap)
@@ -157,17 +144,18 @@ def grow(df: DataFrame, params: dict, cuts: list[list[float]], categorical: set[
             if not good(n, s):
                 continue
             fresh = apply(n, s)
-            where.append([n])
             leaves += 1
-            placed = placed.withColumn("node", move([n]))
             if leaves < most and (not params["max_depth"] or tree.depth(fresh[0]) < params["max_depth"]):
-                for c, t in best_of(placed, fresh).items():
+                for c, t in best_of(fresh).items():
                     heapq.heappush(heap, (-t.gain, c, t))
 
-    def place(d: DataFrame) -> DataFrame:
-        d = d.withColumn("node", F.lit(0))
-        for done in where:
-            d = d.withColumn("node", move(done))
-        return d
+    return tree, lambda d: d.withColumn("node", F.expr(place(nodes)))
 
-    return tree, place
+
+def place(nodes: list[Node], n: int = 0) -> str:
+    """SQL of the leaf that a row with bins b0.. reaches; one comparison for each level."""
+    x = nodes[n]
+    if x.left < 0:
+        return str(n)
+    right = f"b{x.fidx} IN ({', '.join(str(int(c)) for c in x.cats)})" if x.is_cat else f"b{x.fidx} > {int(x.bin)}"
+    return f"if(coalesce({right}, {'false' if x.default_left else 'true'}), {place(nodes, x.right)}, {place(nodes, x.left)})"

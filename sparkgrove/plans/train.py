@@ -176,7 +176,7 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
             work = C.binned(work, list(spec.features), cuts, spec.categorical)
         work = work.persist()
         held.append(work)
-        eval_work = [(model.with_margin(d), name) for d, name in sets]
+        eval_work, own = [(model.with_margin(d), name) for d, name in sets], [d is df for d, _ in (evals or [])]
         for c in calls:
             c.before_training(model)
         first, bias = model.rounds(), None
@@ -216,13 +216,14 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
                 if p["tree_method"] == "approx":
                     nxt = nxt.drop(*(f"b{i}" for i in range(len(cuts))))
             nxt = nxt.persist() if (round_ - first + 1) % CHECKPOINT_ROUNDS else cut_lineage(nxt).persist()
-            nxt.count()
-            held.pop().unpersist()
+            if not (any(own) and names):  # else the first metric keeps it
+                nxt.count()
             held.append(nxt)
-            work = nxt
             for i, (d, name) in enumerate(eval_work):
                 step = copy.copy(model)
-                if dropped or p["booster"] == "gblinear":
+                if own[i]:  # the training table has its margins already
+                    d = nxt
+                elif dropped or p["booster"] == "gblinear":
                     d = model.with_margin(sets[i][0])
                 else:
                     step.trees, step.linear, step.base = new_trees, None, [0.0] * model.outputs
@@ -232,6 +233,9 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
                 eval_work[i] = (d, name)
                 for metric, v in evaluate(model, d, names, custom_metric):
                     history.setdefault(name, {}).setdefault(metric, []).append(v)
+            held.remove(work)
+            work.unpersist()
+            work = nxt
             if any([c.after_iteration(model, round_, history) for c in calls]) or done:
                 break
         for c in calls:
@@ -274,12 +278,11 @@ def _round(graded: DataFrame, model: Model, p: dict, cuts, cat, rng, round_: int
 
     def add(work: DataFrame) -> DataFrame:
         for tree, place in made:
-            leaf = F.col("node")
             work = place(work)
             for t in range(len(tree.nodes[0].leaf)):
                 m = f"m{t if together else tree.group}"
-                values = F.array(*(F.lit(float(x.leaf[t] if x.is_leaf else 0.0)) for x in tree.nodes))
-                work = work.withColumn(m, F.col(m) + F.get(values, leaf))
+                values = ", ".join(f"double('{float(x.leaf[t] if x.is_leaf else 0.0)!r}')" for x in tree.nodes)
+                work = work.withColumn(m, F.expr(f"{m} + get(array({values}), node)"))
             work = work.drop("node")
         return work
 

@@ -98,6 +98,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """The table by row_id over as many tasks as there are cores, if one task holds more than
+    twice its share (a file of one row group, say); else as it is. Every level of every tree
+    reads it, so one shuffle pays."""
+    parts = table.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.count("*").alias("parts")).first()
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if not parts["rows"] or parts["most"] <= 2 * parts["rows"] / cores:
+        return table
+    return table.repartition(max(cores, parts["parts"]), "row_id")
+
+
 def _metric_names(p: dict, obj) -> list:
     names = p["eval_metric"] or []
     names = list(names) if isinstance(names, (list, tuple)) else [names]
@@ -130,7 +141,13 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
     table = table.persist()
     held = [table]
     try:
+        dealt = spread(table)
+        if dealt is not table:
+            table = dealt.persist()
+            held.append(table)
         validate(table)
+        if len(held) > 1:  # dealt out by now
+            held.pop(0).unpersist()
         objective = objectives.get(p["objective"], p)
         objective.validate(table) if "label" in table.columns else None
         sets = [(prepare(d, spec)[0] if d is not table else table, name) for (d, name) in (evals or [])]

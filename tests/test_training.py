@@ -130,3 +130,28 @@ def test_shap_values_add_up(spark):
     got = m.with_margin(m.shap_values(df)).collect()
     assert all(len(r["shap0"]) == 3 and sum(r["shap0"]) + r["expected0"] == pytest.approx(r["m0"]) for r in got) and len(got) == 9
     assert "c0" not in got[0].asDict()
+
+
+def test_crowded_tables_are_spread(spark):
+    from sparkgrove.plans.train import spread
+
+    df = spark.range(4000).withColumnRenamed("id", "row_id")
+    even, crowded = df.repartition(8), df.coalesce(1)
+    assert spread(even) is even
+    dealt = spread(crowded)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt.count() == 4000
+    empty = df.where("row_id < 0")
+    assert spread(empty) is empty
+
+
+def test_router_and_sql_place_agree(spark):
+    from sparkgrove.operators.splits import Router
+    from sparkgrove.plans.grow import place
+    from sparkgrove.plans.model import Node
+
+    nodes = [Node(left=1, right=2, fidx=0, bin=3, default_left=True), Node(parent=0, left=3, right=4, fidx=1, is_cat=True, cats=(0, 2)), Node(parent=0), Node(parent=1), Node(parent=1)]
+    cells = [(a, b) for a in (None, 0, 3, 4) for b in (None, 0, 1, 2)]
+    got = [r["n"] for r in spark.createDataFrame(cells, "b0 int, b1 int").selectExpr(f"{place(nodes)} AS n").collect()]
+    bins = [np.array([-1 if c[i] is None else c[i] for c in cells]) for i in (0, 1)]
+    assert sorted(Router(nodes, 5)(bins, len(cells)).tolist()) == sorted(got)
+    assert dict(zip(cells, Router(nodes, 5)(bins, len(cells)).tolist())) == {c: 2 if c[0] == 4 else 4 if c[1] in (None, 0, 2) else 3 for c in cells}

@@ -1,9 +1,16 @@
 """Language-model scores by online logistic context mixing.
 
-The text is its token sequence: words in lower case (A-Z), then one end. A word's
-probability has two parts, as in absolute discounting: a known token keeps
-(count - D) / N of the training tokens; the mass so saved, D * V / N, goes to the byte
-model, which spells any word.
+The text is its token sequence: words in lower case (A-Z), then one end. It is coded word
+by word, a word as the bits of a code tree, by a mixer of hashed contexts that run across
+words (coder.py): slots count the running text of all training documents, the weights are
+chosen by gates and trained online, an adaptive probability map refines each bit, and every
+text goes on teaching its own copy of weights and map while it is read. The score is the
+sum of what the mixer gives all bits, plus the spelling of the rare words.
+
+The tree's symbols are the HEAD most frequent training words, the end and one symbol for
+all rarer words. Which rare word it is, is a second step: a known one keeps (count - D) / N
+of the rare training tokens; the mass so saved goes to the byte model, which spells any
+word, less the share it would give the frequent ones. All next tokens sum to 1.
 
 The byte model codes a word's bytes and its closing blank bit by bit. Predictors are
 hashed contexts: none, the last 1, 2, 3 and 4 bytes, and the word so far. Each slot
@@ -12,22 +19,18 @@ are summed with weights chosen by gates (the longest context seen before, and ea
 predictor's own confidence), trained online; an adaptive probability map indexed by
 the last byte refines the result.
 
-Above the words stands a mixture of experts: a text's class (its most frequent marker
-word, of the MARKERS most frequent words) has its own counts of the TOP most frequent
-words, backed off to the common ones. The text's probability is the prior-weighted sum
-over classes, which is what predicting word by word gives when the experts' weights
-adapt to the text read so far.
-
-Counts cover all training documents and are gathered by a shuffle; the frequent head
-of the vocabulary (HEAD words) goes to every task, the rest meets its documents in a
-join. The hashed tables have a fixed size (about 4 M slots), like any context mixer's.
-The mixing weights and the map are fitted on all words held back by hash: online passes
-over parts of about MIX_WORDS words, whose cells are averaged by how often each was used.
+Counts cover all training documents and are gathered by a shuffle; the head of the
+vocabulary goes to every task, the rest meets its documents in a join. The hashed tables
+grow with the training tokens up to 2^22 slots a context (2^20 in the byte model), then
+slots are shared. One training document of HELD_BACK (by hash) teaches the first weights
+and map, on tables without it, and then joins the tables; likewise for words and the byte
+model. Both are fitted on all that is held back: online passes over parts, whose cells are
+averaged by how often each was used.
 
 Defined results: null text is the empty text, whose only token is the end; rows that
 repeat a doc_id are scored each; a null doc_id is held out if crc32 of '' says so;
-with no training documents counts are 0 and the byte model gives every bit 1/2;
-an empty table gives no rows; further columns are ignored; texts are never cut.
+with no training documents counts are 0, and the byte model and the tree give every bit
+1/2 at first; an empty table gives no rows; further columns are ignored; texts are never cut.
 """
 
 from __future__ import annotations
@@ -41,11 +44,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import coder
 from .common import lower_words, mix64, n_tasks, slices, text_or_empty, written
 
 ORDERS, LOG_SLOTS, HEAD, MIX_WORDS, DISCOUNT = 6, 20, 1 << 18, 30_000, 0.75
 TOP, MARKERS, BACKOFF = 1 << 15, 32, 300.0
-HELD_BACK = 16  # one of so many words (by hash) teaches the mixer and the map, not the slots it learns from
+FIT_BYTES, TABLE_TOKENS = 4 << 20, 8_000_000  # text of a part of the fit; tokens of a task that counts
+HELD_BACK = 16  # one of so many words or documents (by hash) teaches the mixer and the map, not the slots it learns from
 GATES = (1, 2, 4, 8, 32)  # confidence classes: counts below
 APM_STEPS = 33
 
@@ -285,8 +290,8 @@ def _word_scores(packed, facts: dict):
         for batch in batches:
             n = batch.column("n").to_numpy().astype(np.float64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("word"), batch.column("n"), pa.array(_base(n, facts)), pa.array(_joined(n, model.log10(batch.column("word")), facts))],
-                names=["word", "n", "base", "lp"])
+                batch.column("word"), batch.column("n"), pa.array(_base(n, facts)), pa.array(model.log10(batch.column("word")))],
+                names=["word", "n", "base", "spell"])
 
     return run
 
@@ -295,55 +300,21 @@ def _base(n, facts):
     return np.log10((n + 0.5) / (facts["N"] + 0.5 * (facts["V"] + 1)))
 
 
-def _joined(n, spell, facts):
-    """Log10 of the discounted count and the spelled share together."""
-    if not facts["N"]:
-        return spell
-    known = np.maximum(n - DISCOUNT, 0) / facts["N"]
-    share = np.log10(DISCOUNT * facts["V"] / facts["N"]) if DISCOUNT * facts["V"] < facts["N"] else np.log10(0.5)
-    scale = 1.0 if DISCOUNT * facts["V"] < facts["N"] else 0.5 / max(1e-9, 1 - DISCOUNT * facts["V"] / facts["N"])
-    return np.log10(np.maximum(known * scale, 0) + 10 ** np.maximum(spell + share, -300))
-
-
-def _classes(doc: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
-    """The most frequent marker of each text (ties: the more frequent word); MARKERS if none."""
-    marks = code < MARKERS
-    tf = np.bincount(doc[marks] * MARKERS + code[marks], minlength=rows * MARKERS).reshape(rows, MARKERS)
-    return np.where(tf.any(1), tf.argmax(1), MARKERS)
+def rare_score(rare: dict):
+    """Log10 of a rare word's share of all rare words, a column of (n, spell): the discounted
+    count and the spelled share together. rare: N tokens and V words of training, and head,
+    the sum of what the byte model gives the frequent words."""
+    share = DISCOUNT * rare["V"] / rare["N"] if rare["N"] else 1.0
+    spelled = F.col("spell") + F.lit(float(np.log10(share / max(1e-6, 1 - rare["head"]))))
+    return F.when(F.col("n") > 0, F.log10((F.col("n") - DISCOUNT) / F.lit(float(max(rare["N"], 1))) + F.pow(F.lit(10.0), spelled))).otherwise(spelled)
 
 
 def _codes(words: pa.Array, names: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.index_in(words, names), len(names)).to_numpy().astype(np.int64)
 
 
-def _class_counts(packed):
-    """A task's counts of the top words (the rest at TOP, texts behind) by class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = packed.value
-        total = np.zeros((MARKERS + 1, TOP + 2))
-        for batch in slices(batches):
-            words, at = lower_words(text_or_empty(batch.column("text")))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            code = np.where((c := _codes(words, names)) < len(names), c, TOP)
-            kind = _classes(doc, code, batch.num_rows)
-            total += np.bincount(kind[doc] * (TOP + 2) + code, minlength=total.size).reshape(total.shape)
-            texts = np.bincount(kind, minlength=MARKERS + 1)
-            total[:, TOP] += texts  # the end of each text
-            total[:, TOP + 1] += texts
-        for k in np.flatnonzero(total.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k].tobytes()], pa.binary())], names=["kind", "counts"])
-
-    return run
-
-
-def _class_sum(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float64) for x in t["counts"].to_pylist())
-    return pa.table({"kind": t["kind"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def experts(counts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of class counts (classes, TOP + 2) and the common probabilities of the top words:
+    """Not a part of score: texts are told apart by the mixer's contexts. Of class counts (classes, TOP + 2) and the common probabilities of the top words:
     natural logs of each class's probability over the common one (words and rest, classes),
     and of the prior."""
     n = len(common)
@@ -357,14 +328,86 @@ def experts(counts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndar
 ROW = "uid long, doc_id long, held_out boolean, word string, tf long, n_tokens long, n_known long, base double, lp double, n_bytes long"
 
 
-def _head_scores(packed):
-    """Each text's sums over end and head words, and its other words one by one."""
+def _slot_counts(head, log: int):
+    """A task's counts of the text tables, as packed chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, tree = head.value["word"], head.value["tree"]
+        counts = np.zeros((coder.HASHED, 2 << log), np.uint32)
+        for batch in slices(batches):
+            words, at = lower_words(text_or_empty(batch.column("text")))
+            for _, _, tok in coder.pieces(words, at, _codes(words, names), len(names) + 1):
+                coder.count_bits(tree, tok, counts)
+        chunks = counts.reshape(-1, coder.CHUNK)
+        there = np.flatnonzero(chunks.any(1))
+        for k in range(0, len(there), 64):
+            part = there[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([coder.packed_counts(chunks[i]) for i in part], pa.binary())], names=["chunk", "counts"])
+
+    return run
+
+
+def _slot_sums(t: pa.Table) -> pa.Table:
+    total = np.zeros(coder.CHUNK, np.int64)
+    for x in t["counts"]:
+        total += coder.unpacked_counts(x.as_py())
+    return pa.table({"chunk": t["chunk"].slice(0, 1), "counts": pa.array([coder.packed_counts(total)], pa.binary())})
+
+
+def _slot_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([coder.states(coder.unpacked_counts(x.as_py())).tobytes() for x in batch.column("counts")], pa.binary())], names=["chunk", "states"])
+
+
+def _text_table(sums: DataFrame, log: int) -> np.ndarray:
+    """The states of all slots, (HASHED, slots): a byte each, 16 MB at most."""
+    table = np.zeros((coder.HASHED << log) // (coder.CHUNK >> 1) * (coder.CHUNK >> 1), np.uint8).reshape(-1, coder.CHUNK >> 1)
+    table[:] = coder.states(np.zeros(2, np.int64))
+    for r in sums.mapInArrow(_slot_states, "chunk int, states binary").toLocalIterator():
+        table[r["chunk"]] = np.frombuffer(bytes(r["states"]), np.uint8)
+    return table.reshape(coder.HASHED, 1 << log)
+
+
+def _text_lessons(head, table):
+    """The weights and the map after a part of the held-back texts, and how often each cell was used."""
+
+    def run(t: pa.Table) -> pa.Table:
+        names = head.value["word"]
+        mixer = coder.TextMixer(head.value["tree"], table.value)
+        uses = np.zeros(len(mixer.cells()))
+        for batch in slices(iter(t.sort_by([("order", "ascending"), ("text", "ascending")]).select(["text"]).to_batches())):
+            words, at = lower_words(text_or_empty(batch.column("text")))
+            for _, _, tok in coder.pieces(words, at, _codes(words, names), len(names) + 1, coder.FIT_ROWS):
+                mixer.code(tok, True, uses)
+        return pa.table({"lane": pa.array([t["part"][0].as_py() % 16], pa.int32()), "sums": pa.array([np.stack((uses, mixer.cells() * uses)).tobytes()], pa.binary())})
+
+    return run
+
+
+def text_cells(rows: DataFrame, head, table) -> np.ndarray:
+    """First weights and map of the text mixer, fitted on all of rows(doc_id, text)."""
+    start = coder.TextMixer(head.value["tree"], table.value).cells()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = F.xxhash64("doc_id", "text", F.lit(1))
+    dealt = rows.select("text", order.alias("order"), F.pmod(order, F.lit(-(-size // FIT_BYTES) or 1)).cast("int").alias("part"))
+    sums = dealt.groupBy("part").applyInArrow(_text_lessons(head, table), "lane int, sums binary").groupBy("lane").applyInArrow(_lane_sums, "lane int, sums binary")
+    got = sums.collect()  # 16 rows of fixed size, at most
+    if not got:
+        return start
+    uses, cells = sum(np.frombuffer(bytes(r["sums"])) for r in sorted(got)).reshape(2, -1)
+    return np.where(uses > 0, cells / np.maximum(uses, 1), start)
+
+
+def _head_scores(head, table, cells: np.ndarray):
+    """Each text's base over end and head words and the mixer's score of its symbols, and its
+    other words one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = packed.value
-        names = head["word"]
-        n, base, lp = (np.append(head[c], 0.0) for c in ("n", "base", "lp"))
-        ratio, prior = head["ratio"], head["prior"]
+        held = head.value
+        names = held["word"]
+        n, base = (np.append(held[c], 0.0) for c in ("n", "base"))
+        mixer = coder.TextMixer(held["tree"], table.value)
+        mixer.taught(cells)
         for batch in slices(batches):
             words, at = lower_words(text_or_empty(batch.column("text")))
             rows, size = batch.num_rows, np.diff(at)
@@ -372,15 +415,12 @@ def _head_scores(packed):
             code = _codes(words, names)
             add = lambda x: np.bincount(doc, x[code], rows)
             empty = lambda k: pa.nulls(rows, k)
-            # what the experts add to the common probabilities of a text's words
-            wide = len(ratio)
-            pair, tf = np.unique(np.concatenate((doc, np.arange(rows))) * wide + np.append(np.minimum(code, wide - 1), np.full(rows, wide - 1)), return_counts=True)
-            belief = prior + np.add.reduceat(ratio[pair % wide] * tf[:, None], np.searchsorted(pair // wide, np.arange(rows)), axis=0)
-            most = belief.max(1)
-            gain = (most + np.log(np.exp(belief - most[:, None]).sum(1))) / np.log(10)
+            lp = np.zeros(rows)
+            for start, stop, tok in coder.pieces(words, at, code, len(names) + 1):
+                lp[start:stop] = np.bincount(tok.doc, mixer.code(tok), stop - start)
             yield pa.RecordBatch.from_arrays([
                 batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), empty(pa.string()), empty(pa.int64()),
-                pa.array(size + 1), pa.array((np.bincount(doc, n[code] > 0, rows) + head["end"][0]).astype(np.int64)), pa.array(add(base) + head["end"][1]), pa.array(add(lp) + head["end"][2] + gain),
+                pa.array(size + 1), pa.array((np.bincount(doc, n[code] > 0, rows) + held["end"][0]).astype(np.int64)), pa.array(add(base) + held["end"][1]), pa.array(lp),
                 pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())], names=[c.split()[0] for c in ROW.split(", ")])
             rest = np.flatnonzero(code == len(names))
             if not len(rest):
@@ -430,20 +470,31 @@ def score(docs: DataFrame, trained) -> DataFrame:
     del most
     model.weights, model.map = taught.weights, taught.map
     packed = spark.sparkContext.broadcast(model)
-    words = written(vocabulary.mapInArrow(_word_scores(packed, facts), "word string, n long, base double, lp double"), "lm_scores")
+    words = written(vocabulary.mapInArrow(_word_scores(packed, facts), "word string, n long, base double, spell double"), "lm_scores")
     top = words.where("n > 0").orderBy(F.desc("n"), "word").limit(HEAD).toArrow().combine_chunks()
-    end = (int(ends > 0), float(_base(np.array(float(ends)), facts)), float(_joined(np.array(float(ends)), np.array(-8.0), facts)))
-    counts = np.zeros((MARKERS + 1, TOP + 2))
-    some = spark.sparkContext.broadcast(_large(top["word"])[:TOP])
-    by_class = rows.where("trained").select("text").mapInArrow(_class_counts(some), "kind int, counts binary").groupBy("kind").applyInArrow(_class_sum, "kind int, counts binary")
-    for r in by_class.collect():  # MARKERS + 1 rows of fixed size
-        counts[r["kind"]] = np.frombuffer(bytes(r["counts"]), np.float64)
-    ratio, prior = experts(counts, 10 ** top["lp"].to_numpy()[:TOP])
-    head = spark.sparkContext.broadcast({"ratio": ratio.astype(np.float32), "prior": prior, "word": _large(top["word"]), "n": top["n"].to_numpy().astype(float), "base": top["base"].to_numpy(), "lp": top["lp"].to_numpy(), "end": end})
+    n = top["n"].to_numpy().astype(float)
+    rare = {"N": facts["N"] - ends - int(n.sum()), "V": got["v"] - len(n), "head": float((10 ** top["spell"].to_numpy()).sum())}
+    tree = coder.Tree(np.concatenate((n, (rare["N"] + 1.0, ends + 1.0))))
+    end = (int(ends > 0), float(_base(np.array(float(ends)), facts)))
+    head = spark.sparkContext.broadcast({"tree": tree, "word": _large(top["word"]), "n": n, "base": top["base"].to_numpy(), "end": end})
+    # text tables: all training documents but the held-back teach the weights, then all
+    log = coder.log_slots(facts["N"])
+    read = rows.where("trained")
+    back = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD_BACK)) == 0
+    counting = max(2, -(-facts["N"] // TABLE_TOKENS))
+
+    def counted(docs: DataFrame) -> DataFrame:
+        return docs.select("text").coalesce(counting).mapInArrow(_slot_counts(head, log), "chunk int, counts binary")
+
+    sums = written(counted(read.where(~back)).groupBy("chunk").applyInArrow(_slot_sums, "chunk int, counts binary"), "lm_slots")
+    table = spark.sparkContext.broadcast(_text_table(sums, log))
+    cells = text_cells(read.where(back).select("doc_id", "text"), head, table)
+    table.unpersist()
+    table = spark.sparkContext.broadcast(_text_table(sums.unionByName(counted(read.where(back))).groupBy("chunk").applyInArrow(_slot_sums, "chunk int, counts binary"), log))
     numbered = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("held_out", ~F.col("trained")).select("uid", "doc_id", "held_out", "text")
-    parts = written(numbered.mapInArrow(_head_scores(head), ROW), "lm_parts")
+    parts = written(numbered.mapInArrow(_head_scores(head, table, cells), ROW), "lm_parts")
     tail = parts.where("word IS NOT NULL").select("uid", "word", "tf").join(words, "word")
-    tail = tail.groupBy("uid").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"), F.sum(F.col("tf") * F.col("lp")).alias("l"))
+    tail = tail.groupBy("uid").agg(F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"), F.sum(F.col("tf") * rare_score(rare)).alias("l"))
     out = parts.where("word IS NULL").select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "n_bytes").join(tail, "uid", "left")
     whole = F.col("lp") + F.coalesce("l", F.lit(0.0))
     return out.select(

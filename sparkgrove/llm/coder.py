@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import RollingHash, mix64
 
@@ -43,7 +44,9 @@ _NODE, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 class Tree:
     """Huffman's code of symbols with counts (all positive, two at least; a code longer than 64
     bits would take 10^13 tokens). From start[s] on, path has depth[s] steps of symbol s: node
-    (the root is 0), its place in its group of levels, and the bit; group has the group's hash."""
+    (the root is 0), its place in its group of levels, and the bit; odds has the node's
+    stretched probability, and low the place and the bit alone. From group_start[s] on, heads has
+    the hashes of its groups[s] groups of levels, and tails the place the last bit of each leads to."""
 
     def __init__(self, counts: np.ndarray):
         n = len(counts)
@@ -74,28 +77,53 @@ class Tree:
         self.path = np.zeros(int(self.depth.sum()), np.int32)
         for level, (who, entry) in enumerate(entries):
             self.path[self.start[who] + self.depth[who] - 1 - level] = entry
-        self.group = np.zeros(len(self.path), np.uint32)
+        self.groups = (self.depth + GROUP - 1) // GROUP
+        self.group_start = np.cumsum(self.groups) - self.groups
+        self.heads = np.zeros(int(self.groups.sum()), np.uint32)
+        self.tails = np.zeros(len(self.heads), np.uint8)
         self.word = np.zeros(n, np.uint64)  # the code from the highest bit on
-        head, inner = np.zeros(n, np.uint32), np.ones(n, np.int32)
+        inner = np.ones(n, np.int32)
         for level in range(int(self.depth.max())):
             who = np.flatnonzero(self.depth > level)
             at = self.start[who] + level
             entry = self.path[at]
             bit = entry & 1
             if level % GROUP == 0:
-                head[who], inner[who] = (entry >> 1).astype(np.uint32) * _NODE, 1
-            self.group[at] = head[who]
+                self.heads[self.group_start[who] + level // GROUP] = (entry >> 1).astype(np.uint32) * _NODE
+                inner[who] = 1
             self.path[at] = (entry >> 1 << GROUP | inner[who]) << 1 | bit
             inner[who] = 2 * inner[who] + bit
+            self.tails[self.group_start[who] + level // GROUP] = inner[who]
             self.word[who] |= bit.astype(np.uint64) << np.uint64(63 - level)
         self.stretch = np.log(one / (whole - one))[::-1].astype(np.float32)
+        self.odds = self.stretch[self.path >> GROUP + 1]
+        self.low = (self.path & (2 << GROUP) - 1).astype(np.uint8)
+
+    @property
+    def group(self) -> np.ndarray:
+        """The hash of its group, for every step of path."""
+        return np.repeat(self.heads, self._levels(self.depth, self.groups))
+
+    @staticmethod
+    def _levels(size: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """How many levels each group of symbols with codes of these sizes has."""
+        ends = np.cumsum(groups)
+        out = np.full(int(ends[-1]) if len(ends) else 0, GROUP)
+        out[ends - 1] = size - GROUP * (groups - 1)
+        return out
 
     def bits(self, sym: np.ndarray):
-        """The bits of symbols: whose each is, its place in the code, and its index in path."""
-        size = self.depth[sym]
-        whose = np.repeat(np.arange(len(sym)), size)
-        place = np.arange(len(whose)) - np.repeat(np.cumsum(size) - size, size)
-        return whose, place, self.start[sym][whose] + place
+        """Of symbols: how many bits each has and where they begin, the bits, what the tree gives
+        them, the groups of each symbol and their hashes, and where each bit lies if every group
+        has 1 << GROUP places."""
+        size, groups = self.depth[sym], self.groups[sym]
+        first, begin = np.cumsum(size) - size, np.cumsum(groups) - groups
+        at = _runs(self.start[sym] - first, size)
+        low, odds = self.low.take(at), self.odds.take(at)
+        head = self.heads.take(_runs(self.group_start[sym] - begin, groups))
+        place = np.repeat(np.arange(0, len(head) << GROUP, 1 << GROUP), self._levels(size, groups))
+        place += low >> np.uint8(1)
+        return size, first, low & np.uint8(1), odds, groups, head, place
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many bits the codes of two symbols begin with alike."""
@@ -105,6 +133,13 @@ class Tree:
         return np.where(a == b, self.depth[a], np.where(high > 0, 32 - high, 64 - low))
 
 
+def _runs(shift: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... with shift[i] added to the next size[i] of them."""
+    out = np.repeat(shift, size)
+    out += np.arange(len(out))
+    return out
+
+
 class Tokens:
     """Symbols of some texts in running order, with what their contexts are made of."""
 
@@ -142,8 +177,25 @@ def block_of(pos: np.ndarray) -> np.ndarray:
     return np.where(pos < 256, np.searchsorted([32, 64, 128], pos, "right"), 3 + pos // 256)
 
 
-def slots(ctx: np.ndarray, group: np.ndarray, inner: np.ndarray, log: int) -> np.ndarray:
-    return (((ctx ^ group) * _SPREAD) >> np.uint32(32 + GROUP - log)).astype(np.int64) * (1 << GROUP) + inner
+def _blocks(tok: Tokens) -> Iterator[tuple[np.ndarray, int]]:
+    """The tokens of each block in turn, first those whose texts go on after it, and how many these are."""
+    if not len(tok.sym):
+        return
+    block = block_of(tok.pos)
+    ends = np.flatnonzero(np.append(np.diff(tok.doc) > 0, True))
+    final = block == np.repeat(block[ends], np.diff(ends, prepend=-1))
+    key = block * 2 + final
+    order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        yield at, len(at) - int(final[at].sum())
+
+
+def slots(ctx: np.ndarray, head: np.ndarray, log: int) -> np.ndarray:
+    """Where the slots of a group lie, in units of 1 << GROUP slots."""
+    out = ctx ^ head
+    out *= _SPREAD
+    out >>= np.uint32(32 + GROUP - log)
+    return out.astype(np.intp)
 
 
 def log_slots(tokens: int) -> int:
@@ -151,14 +203,34 @@ def log_slots(tokens: int) -> int:
     return min(MOST_LOG, max(LEAST_LOG, int(4 * max(tokens, 1)).bit_length()))
 
 
-def count_bits(tree: Tree, tok: Tokens, counts: np.ndarray) -> None:
-    """Adds the bits of tok to counts (HASHED, 2 * slots): zeros and ones of a slot side by side."""
+def count_paths(tree: Tree, tok: Tokens, counts: np.ndarray) -> None:
+    """Adds what the codes of tok do in each group of levels to counts (HASHED, 2 * slots), one
+    count for all bits of a group; summed_paths makes zeros and ones of a slot from it."""
     log = (counts.shape[1] >> 1).bit_length() - 1
-    whose, _, at = tree.bits(tok.sym)
-    entry, group = tree.path[at].astype(np.int64), tree.group[at]
-    inner, bit = entry >> 1 & (1 << GROUP) - 1, entry & 1
+    groups = tree.groups[tok.sym]
+    at = _runs(tree.group_start[tok.sym] - np.cumsum(groups) + groups, groups)
+    head, tail = tree.heads[at], tree.tails[at]
     for k in range(HASHED):
-        np.add.at(counts[k], slots(tok.ctx[k][whose], group, inner, log) * 2 + bit, counts.dtype.type(1))
+        where = slots(np.repeat(tok.ctx[k], groups), head, log)
+        where <<= GROUP + 1
+        where += tail
+        np.add.at(counts[k], where, counts.dtype.type(1))
+
+
+def summed_paths(counts: np.ndarray) -> None:
+    """A path through a group ends at one place: every place before gets the paths beyond it."""
+    cells = counts.reshape(-1, 2 << GROUP)
+    for level in range(GROUP - 1, 0, -1):
+        here, next_ = 1 << level, 2 << level
+        cells[:, here:next_] += cells[:, next_ : 2 * next_ : 2] + cells[:, next_ + 1 : 2 * next_ : 2]
+
+
+def count_bits(tree: Tree, tok: Tokens, counts: np.ndarray) -> None:
+    """Adds the bits of tok to counts (HASHED, 2 * slots): zeros and ones of a slot side by side."""
+    paths = np.zeros_like(counts)
+    count_paths(tree, tok, paths)
+    summed_paths(paths)
+    counts += paths
 
 
 def states(counts: np.ndarray) -> np.ndarray:
@@ -185,32 +257,37 @@ class TextMixer:
     def __init__(self, tree: Tree, table: np.ndarray):
         """table: (HASHED, slots) of states."""
         self.tree, self.table, self.log = tree, table, table.shape[1].bit_length() - 1
+        self.eights = table.view(np.uint64)  # the slots of a group at once
         self.weights = np.full((INPUTS, N_GATES, SURE), 0.25, np.float32)
         self.weights[1:, :, 0] = 0
         self.map = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, APM_STEPS))), (N_GATES, 1)).astype(np.float32)
 
     def _inputs(self, tok: Tokens, at: np.ndarray):
-        """Of the tokens at: whose each bit is, the bit, stretched inputs, their cells and the gate."""
-        tree = self.tree
-        sym = tok.sym[at]
-        whose, place, index = tree.bits(sym)
-        entry, group = tree.path[index].astype(np.int64), tree.group[index]
-        inner, bit = entry >> 1 & (1 << GROUP) - 1, (entry & 1).astype(np.float32)
-        x, sure = [tree.stretch[entry >> GROUP + 1]], [0]
-        gate = np.zeros(len(entry), np.uint8)
+        """Of the tokens at: how many bits each has and where they begin, the bits, the inputs but
+        the match, stretched, the hashed ones' confidence, the gate; and the match: the bits it
+        stands at, its inputs and its confidence."""
+        tree, sym = self.tree, tok.sym[at]
+        size, first, bit, odds, groups, head, place = tree.bits(sym)
+        x, sure = [odds], []
+        gate = np.zeros(len(bit), np.uint8)
         for k in range(HASHED):
-            state = self.table[k][slots(tok.ctx[k][at][whose], group, inner, self.log)]
-            x.append(((state >> 3).astype(np.float32) - np.float32(REACH + 1)) * np.float32(STEP))
-            sure.append(state & 7)
+            state = self.eights[k].take(slots(np.repeat(tok.ctx[k][at], groups), head, self.log)).view(np.uint8).take(place)
+            x.append((state >> 3).astype(np.float32))
+            x[-1] -= np.float32(REACH + 1)
+            x[-1] *= np.float32(STEP)
+            state &= 7
+            sure.append(state)
             if k < 3:
-                np.maximum(gate, (sure[-1] > 0) * np.uint8(k + 1), out=gate)
+                np.maximum(gate, (state > 0) * np.uint8(k + 1), out=gate)
         # a guess stands up to the first bit it gets wrong
-        agreed = tok.agreed[at]
-        left = np.where(agreed > 0, tree.common(sym, tok.guess[at]), -1)[whose] - place
-        stands = left >= 0
-        x.append((bit * 4 - 2) * ((left > 0) * np.float32(2) - 1) * stands)
-        sure.append(agreed[whose] * stands)
-        return whose, bit, x, sure, gate + stands * np.uint8(4)
+        known = np.flatnonzero(tok.agreed[at])
+        alike = tree.common(sym[known], tok.guess[at[known]])
+        stand = np.minimum(alike + 1, size[known])
+        stands = _runs(first[known] - np.cumsum(stand) + stand, stand)
+        right = stands < np.repeat(first[known] + alike, stand)
+        guess = np.where(bit[stands] == right, np.float32(2), np.float32(-2))
+        gate[stands] += np.uint8(4)
+        return size, first, bit, x, sure, gate, (stands, guess, np.repeat(tok.agreed[at[known]], stand))
 
     def code(self, tok: Tokens, fit: bool = False, uses: np.ndarray | None = None) -> np.ndarray:
         """Log10 probability of every token. Each text teaches its own copy of weights and map;
@@ -219,34 +296,60 @@ class TextMixer:
         lanes = 1 if fit or not len(tok.doc) else int(tok.doc[-1]) + 1
         weights = np.repeat(self.weights[:, None], lanes, 1).reshape(INPUTS, -1)
         maps = np.tile(self.map.ravel(), lanes)
-        block = block_of(tok.pos)
-        order = np.argsort(block, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
-            whose, bit, x, sure, gate = self._inputs(tok, at)
-            lane = np.zeros(len(bit), np.int64) if fit else tok.doc[at][whose]
-            gated = lane * N_GATES + gate
-            cells = [gated * SURE + s for s in sure]
-            dot = weights[0][cells[0]] * x[0]
-            for k in range(1, INPUTS):
-                dot += weights[k][cells[k]] * x[k]
+        for at, going in _blocks(tok):
+            size, first, bit, x, sure, gate, (stands, guess, agreed) = self._inputs(tok, at)
+            lane = np.zeros(len(at), np.int64) if fit else tok.doc[at]
+            gated = np.repeat(lane * (N_GATES * SURE), size)
+            gated += gate * np.uint8(SURE)
+            cells = [gated, *(gated + s for s in sure)]
+            dot = weights[0].take(gated)
+            dot *= x[0]
+            for k in range(1, HASHED + 1):
+                w = weights[k].take(cells[k])
+                w *= x[k]
+                dot += w
+            cells.append(gated[stands] + agreed)
+            dot[stands] += weights[-1].take(cells[-1]) * guess
             np.clip(dot, -7.9, 7.9, out=dot)
-            p = 1 / (1 + np.exp(-dot))
-            place = (dot + 8) * ((APM_STEPS - 1) / 16)
-            lo = place.astype(np.int64)
-            part = place - lo
-            cell = gated * APM_STEPS + lo
-            final = np.clip(0.5 * p + 0.5 * (maps[cell] * (1 - part) + maps[cell + 1] * part), 1e-6, 1 - 1e-6)
-            out[at] = np.bincount(whose, np.log(np.abs(final + bit - 1)), len(at)) / np.log(10)
-            err = (bit - p).astype(float)
-            rate = ((FIT_RATE if fit else RATE) / np.sqrt(np.bincount(lane, minlength=lanes) + 1.0)).repeat(N_GATES * SURE)
-            for k in range(INPUTS):
-                weights[k] += (rate * np.bincount(cells[k], err * x[k], weights.shape[1])).astype(np.float32)
-            near = cell + (part >= 0.5)
-            n = np.bincount(near, minlength=len(maps))
-            ones = np.bincount(near, bit, len(maps))
+            p = np.exp(-dot)
+            p += 1
+            np.reciprocal(p, out=p)
+            dot += 8
+            dot *= np.float32((APM_STEPS - 1) / 16)
+            lo = dot.astype(np.intp)
+            part = np.subtract(dot, lo, dtype=np.float32)
+            cell = np.repeat(lane * (N_GATES * APM_STEPS), size)
+            cell += gate * np.uint8(APM_STEPS)
+            cell += lo
+            low, final = maps.take(cell), maps[1:].take(cell)
+            final -= low
+            final *= part
+            final += low
+            final += p
+            final *= np.float32(0.5)
+            np.clip(final, 1e-6, 1 - 1e-6, out=final)
+            final -= 1 - bit
+            np.log(np.abs(final, out=final), out=final)
+            out[at] = np.add.reduceat(final, first, dtype=float)
+            # texts that end in this block have nothing more to learn for
+            m = len(bit) if fit else int(size[:going].sum())
+            if not m:
+                continue
+            err = bit[:m] - p[:m]
+            rate = ((FIT_RATE if fit else RATE) / np.sqrt(np.bincount(lane, size, lanes) + 1.0)).repeat(N_GATES * SURE)
+            stood = int(np.searchsorted(stands, m))
+            for k in range(HASHED + 1):
+                weights[k] += (rate * np.bincount(cells[k][:m], err * x[k][:m], weights.shape[1])).astype(np.float32)
+            weights[-1] += (rate * np.bincount(cells[-1][:stood], err[stands[:stood]] * guess[:stood], weights.shape[1])).astype(np.float32)
+            near = cell[:m] + (part[:m] >= 0.5)
+            near *= 2
+            near += bit[:m]
+            zeros, ones = np.bincount(near, minlength=2 * len(maps)).reshape(-1, 2).T
+            n = zeros + ones
             maps += ((ones - n * maps) / (n + APM_LIMIT)).astype(np.float32)
             if uses is not None:
                 uses += np.concatenate([np.bincount(c, minlength=weights.shape[1]) for c in cells] + [n])
+        out /= np.log(10)
         if fit:
             self.weights, self.map = weights.reshape(self.weights.shape), maps.reshape(self.map.shape)
         return out
@@ -259,11 +362,40 @@ class TextMixer:
         self.weights, self.map = cells[: self.weights.size].reshape(self.weights.shape), cells[self.weights.size :].reshape(self.map.shape)
 
 
-def pieces(words: pa.Array, at: np.ndarray, sym: np.ndarray, end: int, most: int = PIECE_ROWS) -> Iterator[tuple[int, int, Tokens]]:
-    """The texts whose words begin at `at`, some at a time: first and last row, and their tokens."""
+def word_hashes(words: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
     data = words.buffers()[2]
-    names = RollingHash(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)).of(offsets[:-1], offsets[1:])
+    return RollingHash(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)).of(offsets[:-1], offsets[1:])
+
+
+class Symbols:
+    """Finds the symbols of words among names: by their hashes, then compared in full."""
+
+    def __init__(self, names: pa.Array):
+        found = word_hashes(names)
+        self.names, self.order = names, np.argsort(found)
+        self.hashes = found[self.order]
+        self.alike = int(np.unique(found, return_counts=True)[1].max(initial=0))  # 1, but for names of one hash
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all words (len(names) for others) and their hashes."""
+        coded = words.dictionary_encode()
+        different, index = coded.dictionary, coded.indices.to_numpy()
+        hashes = word_hashes(different)
+        sym = np.full(len(different), len(self.names), np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        for _ in range(self.alike):
+            maybe = np.flatnonzero(at < len(self.hashes))
+            maybe = maybe[self.hashes[at[maybe]] == hashes[maybe]]
+            name = self.order[at[maybe]]
+            same = pc.equal(different.take(pa.array(maybe)), self.names.take(pa.array(name))).to_numpy(zero_copy_only=False)
+            sym[maybe[same]] = name[same]
+            at += 1
+        return sym[index], hashes[index]
+
+
+def pieces(at: np.ndarray, sym: np.ndarray, names: np.ndarray, end: int, most: int = PIECE_ROWS) -> Iterator[tuple[int, int, Tokens]]:
+    """The texts whose words (symbols sym, hashes names) begin at `at`, some at a time: first and last row, and their tokens."""
     rows, start = len(at) - 1, 0
     while start < rows:
         stop = max(start + 1, min(start + most, int(np.searchsorted(at, at[start] + PIECE_TOKENS, "right")) - 1))

@@ -49,6 +49,7 @@ from .common import lower_words, mix64, n_tasks, slices, text_or_empty, written
 
 ORDERS, LOG_SLOTS, HEAD, MIX_WORDS, DISCOUNT = 6, 20, 1 << 18, 30_000, 0.75
 TOP, MARKERS, BACKOFF = 1 << 15, 32, 300.0
+SPELLED = 60_000  # words whose like beginnings are found at once
 FIT_BYTES, TABLE_TOKENS = 4 << 20, 8_000_000  # text of a part of the fit; tokens of a task that counts
 HELD_BACK = 16  # one of so many words or documents (by hash) teaches the mixer and the map, not the slots it learns from
 GATES = (1, 2, 4, 8, 32)  # confidence classes: counts below
@@ -92,14 +93,29 @@ def slots(ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
     return ((ctx + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20) & np.uint64((1 << LOG_SLOTS) - 1)).astype(np.int64)
 
 
+def distinct(sym: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that begin alike share symbols and their contexts: one place of each different
+    symbol and word so far, how many there are of it, and which of them every symbol is."""
+    key = ctx[5] + sym
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    begin = np.flatnonzero(new)
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[begin], np.diff(begin, append=len(key)), which
+
+
 def count_words(words: pa.Array, counts: np.ndarray) -> None:
     """Adds the bits of words to counts (ORDERS, 2, slots)."""
     sym, _, ctx = spelled(words)
-    nodes = [(np.uint16(1) << np.uint16(b)) | (sym.astype(np.uint16) >> np.uint16(8 - b)) for b in range(8)]
-    bits = [((sym >> np.uint8(7 - b)) & np.uint8(1)).astype(np.int64) for b in range(8)]
-    for k in range(ORDERS):
-        where = np.concatenate([slots(ctx[k], n) * 2 + x for n, x in zip(nodes, bits)])
-        counts[k] += np.bincount(where, minlength=2 << LOG_SLOTS).reshape(-1, 2).T.astype(np.float32)
+    some, times, _ = distinct(sym, ctx)
+    sym, ctx, times = sym[some].astype(np.uint16), ctx[:, some], times.astype(np.float32)
+    for b in range(8):
+        node = (np.uint16(1) << np.uint16(b)) | (sym >> np.uint16(8 - b))
+        bit = (sym >> np.uint16(7 - b) & np.uint16(1)).astype(np.int64) << LOG_SLOTS
+        for k in range(ORDERS):
+            np.add.at(counts[k].reshape(-1), slots(ctx[k], node) + bit, times)
 
 
 def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +132,7 @@ def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         held.append(batch.column("word"))
-        if sum(map(len, held)) >= 60_000:
+        if sum(map(len, held)) >= SPELLED:
             counted()
     counted()
     if seen:
@@ -158,45 +174,50 @@ class Mixer:
         self.uses = np.zeros(self.weights.size), np.zeros(self.map.size)
 
     def _inputs(self, ctx: np.ndarray, node: np.ndarray):
-        at = [slots(ctx[k], node) for k in range(ORDERS)]
-        x = np.stack([self.stretch[k][a] for k, a in enumerate(at)]).astype(np.float32) / 2048
-        sure = np.stack([self.sure[k][a] for k, a in enumerate(at)])
+        x, sure = [], []
         gate = np.zeros(len(node), np.int64)
-        for k in range(1, ORDERS):
-            gate[sure[k] > 0] = k
+        for k in range(ORDERS):
+            at = slots(ctx[k], node)
+            x.append(self.stretch[k].take(at).astype(np.float32))
+            x[-1] /= 2048
+            sure.append(self.sure[k].take(at))
+            if k:
+                gate[sure[k] > 0] = k
         return x, sure, gate
 
     def _bits(self, sym: np.ndarray, ctx: np.ndarray, last: np.ndarray, rate: float | None):
         """Log2 probability of each symbol; with a rate, the weights and the map learn."""
         total = np.zeros(len(sym))
+        weights, flat, row = self.weights.reshape(-1), self.map.reshape(-1), last * APM_STEPS
         for b in range(8):
             node = (np.uint16(1) << np.uint16(b)) | (sym.astype(np.uint16) >> np.uint16(8 - b))
             bit = ((sym >> np.uint8(7 - b)) & np.uint8(1)).astype(np.float32)
             x, sure, gate = self._inputs(ctx, node)
+            gate *= ORDERS * (len(GATES) + 1)
+            cells = [gate + (sure[k] + np.uint8(k * (len(GATES) + 1))) for k in range(ORDERS)]
             dot = np.zeros(len(sym), np.float32)
             for k in range(ORDERS):
-                dot += self.weights[gate, k, sure[k]] * x[k]
-            dot = np.clip(dot, -7.9, 7.9)
+                dot += weights.take(cells[k]) * x[k]
+            np.clip(dot, -7.9, 7.9, out=dot)
             p = 1 / (1 + np.exp(-dot))
-            place = (dot + 8) * ((APM_STEPS - 1) / 16)
+            place = (dot + 8) * np.float32((APM_STEPS - 1) / 16)
             lo = place.astype(np.int64)
-            part = place - lo
-            refined = self.map[last, lo] * (1 - part) + self.map[last, lo + 1] * part
-            final = np.clip(0.5 * p + 0.5 * refined, 1e-6, 1 - 1e-6)
+            part = np.subtract(place, lo, dtype=np.float32)
+            lo += row
+            refined = flat.take(lo) * (1 - part) + flat[1:].take(lo) * part
+            final = np.clip(np.float32(0.5) * p + np.float32(0.5) * refined, 1e-6, 1 - 1e-6)
             total += np.log2(np.where(bit > 0, final, 1 - final))
             if rate is not None:
                 err = bit - p
                 for k in range(ORDERS):
-                    cell = (gate * ORDERS + k) * (len(GATES) + 1) + sure[k]
-                    step = np.bincount(cell, err * x[k], self.weights.size)
-                    n = np.bincount(cell, minlength=self.weights.size)
+                    step = np.bincount(cells[k], err * x[k], weights.size)
+                    n = np.bincount(cells[k], minlength=weights.size)
                     self.uses[0][:] += n
-                    self.weights += (rate * step / np.sqrt(n + 1.0)).reshape(self.weights.shape).astype(np.float32)
-                near = last * APM_STEPS + np.rint(place).astype(np.int64)
+                    weights += (rate * step / np.sqrt(n + 1.0)).astype(np.float32)
+                near = row + np.rint(place).astype(np.int64)
                 n = np.bincount(near, minlength=self.map.size)
                 mean = np.bincount(near, bit, self.map.size) / np.maximum(n, 1)
                 self.uses[1][:] += n
-                flat = self.map.reshape(-1)
                 flat += ((n / (n + 30.0)) * (mean - flat) * (n > 0)).astype(np.float32)
         return total
 
@@ -208,9 +229,14 @@ class Mixer:
 
     def log10(self, words: pa.Array) -> np.ndarray:
         out = []
-        for k in range(0, len(words), 40_000):
-            sym, at, ctx = spelled(words.slice(k, 40_000))
-            out.append(np.add.reduceat(self._bits(sym, ctx, _last(sym, at), None), at[:-1]))
+        for k in range(0, len(words), SPELLED):
+            sym, at, ctx = spelled(words.slice(k, SPELLED))
+            some, _, which = distinct(sym, ctx)
+            last, bits = _last(sym, at), np.zeros(len(some))
+            for j in range(0, len(some), 1 << 14):
+                one = some[j : j + (1 << 14)]
+                bits[j : j + (1 << 14)] = self._bits(sym[one], ctx[:, one], last[one], None)
+            out.append(np.add.reduceat(bits[which], at[:-1]))
         return np.concatenate(out or [np.zeros(0)]) * np.log10(2)
 
 
@@ -262,8 +288,10 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
 
     def summed():
-        t = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
-        return pa.table({"word": t["word"], "n": t["n_sum"]})
+        t = pa.concat_tables(held).combine_chunks()
+        coded = t["word"].combine_chunks().dictionary_encode() if t.num_rows else pa.array([], pa.large_string()).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), t["n"].to_numpy(), len(coded.dictionary))
+        return pa.table({"word": coded.dictionary, "n": n.astype(np.int64)})
 
     for batch in slices(batches):
         words, at = lower_words(text_or_empty(batch.column("text")))
@@ -284,10 +312,22 @@ def _plain(t: pa.Table) -> Iterator[pa.RecordBatch]:
     return iter(t.set_column(0, "word", t["word"].cast(pa.string())).combine_chunks().to_batches(100_000))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to SPELLED rows or somewhat more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= SPELLED:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _word_scores(packed, facts: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = packed.value
-        for batch in batches:
+        for batch in _gathered(batches):
             n = batch.column("n").to_numpy().astype(np.float64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("word"), batch.column("n"), pa.array(_base(n, facts)), pa.array(model.log10(batch.column("word")))],
@@ -309,10 +349,6 @@ def rare_score(rare: dict):
     return F.when(F.col("n") > 0, F.log10((F.col("n") - DISCOUNT) / F.lit(float(max(rare["N"], 1))) + F.pow(F.lit(10.0), spelled))).otherwise(spelled)
 
 
-def _codes(words: pa.Array, names: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.index_in(words, names), len(names)).to_numpy().astype(np.int64)
-
-
 def experts(counts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Not a part of score: texts are told apart by the mixer's contexts. Of class counts (classes, TOP + 2) and the common probabilities of the top words:
     natural logs of each class's probability over the common one (words and rest, classes),
@@ -332,12 +368,13 @@ def _slot_counts(head, log: int):
     """A task's counts of the text tables, as packed chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, tree = head.value["word"], head.value["tree"]
+        symbols, tree = coder.Symbols(head.value["word"]), head.value["tree"]
         counts = np.zeros((coder.HASHED, 2 << log), np.uint32)
         for batch in slices(batches):
             words, at = lower_words(text_or_empty(batch.column("text")))
-            for _, _, tok in coder.pieces(words, at, _codes(words, names), len(names) + 1):
-                coder.count_bits(tree, tok, counts)
+            for _, _, tok in coder.pieces(at, *symbols.of(words), len(symbols.names) + 1):
+                coder.count_paths(tree, tok, counts)
+        coder.summed_paths(counts)
         chunks = counts.reshape(-1, coder.CHUNK)
         there = np.flatnonzero(chunks.any(1))
         for k in range(0, len(there), 64):
@@ -372,12 +409,12 @@ def _text_lessons(head, table):
     """The weights and the map after a part of the held-back texts, and how often each cell was used."""
 
     def run(t: pa.Table) -> pa.Table:
-        names = head.value["word"]
+        symbols = coder.Symbols(head.value["word"])
         mixer = coder.TextMixer(head.value["tree"], table.value)
         uses = np.zeros(len(mixer.cells()))
         for batch in slices(iter(t.sort_by([("order", "ascending"), ("text", "ascending")]).select(["text"]).to_batches())):
             words, at = lower_words(text_or_empty(batch.column("text")))
-            for _, _, tok in coder.pieces(words, at, _codes(words, names), len(names) + 1, coder.FIT_ROWS):
+            for _, _, tok in coder.pieces(at, *symbols.of(words), len(symbols.names) + 1, coder.FIT_ROWS):
                 mixer.code(tok, True, uses)
         return pa.table({"lane": pa.array([t["part"][0].as_py() % 16], pa.int32()), "sums": pa.array([np.stack((uses, mixer.cells() * uses)).tobytes()], pa.binary())})
 
@@ -404,25 +441,27 @@ def _head_scores(head, table, cells: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = head.value
-        names = held["word"]
+        symbols = coder.Symbols(held["word"])
         n, base = (np.append(held[c], 0.0) for c in ("n", "base"))
         mixer = coder.TextMixer(held["tree"], table.value)
         mixer.taught(cells)
         for batch in slices(batches):
+            # texts of like length share their blocks
+            batch = batch.take(pc.sort_indices(pc.binary_length(batch.column("text"))))
             words, at = lower_words(text_or_empty(batch.column("text")))
             rows, size = batch.num_rows, np.diff(at)
             doc = np.repeat(np.arange(rows), size)
-            code = _codes(words, names)
+            code, hashes = symbols.of(words)
             add = lambda x: np.bincount(doc, x[code], rows)
             empty = lambda k: pa.nulls(rows, k)
             lp = np.zeros(rows)
-            for start, stop, tok in coder.pieces(words, at, code, len(names) + 1):
+            for start, stop, tok in coder.pieces(at, code, hashes, len(symbols.names) + 1):
                 lp[start:stop] = np.bincount(tok.doc, mixer.code(tok), stop - start)
             yield pa.RecordBatch.from_arrays([
                 batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), empty(pa.string()), empty(pa.int64()),
                 pa.array(size + 1), pa.array((np.bincount(doc, n[code] > 0, rows) + held["end"][0]).astype(np.int64)), pa.array(add(base) + held["end"][1]), pa.array(lp),
                 pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())], names=[c.split()[0] for c in ROW.split(", ")])
-            rest = np.flatnonzero(code == len(names))
+            rest = np.flatnonzero(code == len(symbols.names))
             if not len(rest):
                 continue
             tail = words.take(pa.array(rest)).dictionary_encode()

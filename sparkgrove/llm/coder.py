@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import RollingHash, mix64
+from .common import RollingHash, mix64, picked
 
 MARKERS = 32
 HASHED, INPUTS = 4, 6
@@ -119,8 +119,8 @@ class Tree:
         size, groups = self.depth[sym], self.groups[sym]
         first, begin = np.cumsum(size) - size, np.cumsum(groups) - groups
         at = _runs(self.start[sym] - first, size)
-        low, odds = self.low.take(at), self.odds.take(at)
-        head = self.heads.take(_runs(self.group_start[sym] - begin, groups))
+        low, odds = picked(self.low, at), picked(self.odds, at)
+        head = picked(self.heads, _runs(self.group_start[sym] - begin, groups))
         place = np.repeat(np.arange(0, len(head) << GROUP, 1 << GROUP), self._levels(size, groups))
         place += low >> np.uint8(1)
         return size, first, low & np.uint8(1), odds, groups, head, place
@@ -209,7 +209,7 @@ def count_paths(tree: Tree, tok: Tokens, counts: np.ndarray) -> None:
     log = (counts.shape[1] >> 1).bit_length() - 1
     groups = tree.groups[tok.sym]
     at = _runs(tree.group_start[tok.sym] - np.cumsum(groups) + groups, groups)
-    head, tail = tree.heads[at], tree.tails[at]
+    head, tail = picked(tree.heads, at), picked(tree.tails, at)
     for k in range(HASHED):
         where = slots(np.repeat(tok.ctx[k], groups), head, log)
         where <<= GROUP + 1
@@ -271,7 +271,7 @@ class TextMixer:
         x, sure = [odds], []
         gate = np.zeros(len(bit), np.uint8)
         for k in range(HASHED):
-            state = self.eights[k].take(slots(np.repeat(tok.ctx[k][at], groups), head, self.log)).view(np.uint8).take(place)
+            state = picked(picked(self.eights[k], slots(np.repeat(tok.ctx[k][at], groups), head, self.log)).view(np.uint8), place)
             x.append((state >> 3).astype(np.float32))
             x[-1] -= np.float32(REACH + 1)
             x[-1] *= np.float32(STEP)
@@ -302,26 +302,26 @@ class TextMixer:
             gated = np.repeat(lane * (N_GATES * SURE), size)
             gated += gate * np.uint8(SURE)
             cells = [gated, *(gated + s for s in sure)]
-            dot = weights[0].take(gated)
+            dot = picked(weights[0], gated)
             dot *= x[0]
             for k in range(1, HASHED + 1):
-                w = weights[k].take(cells[k])
+                w = picked(weights[k], cells[k])
                 w *= x[k]
                 dot += w
             cells.append(gated[stands] + agreed)
-            dot[stands] += weights[-1].take(cells[-1]) * guess
+            dot[stands] += picked(weights[-1], cells[-1]) * guess
             np.clip(dot, -7.9, 7.9, out=dot)
             p = np.exp(-dot)
             p += 1
             np.reciprocal(p, out=p)
             dot += 8
             dot *= np.float32((APM_STEPS - 1) / 16)
-            lo = dot.astype(np.intp)
-            part = np.subtract(dot, lo, dtype=np.float32)
+            lo = np.floor(dot)
+            part = dot - lo
             cell = np.repeat(lane * (N_GATES * APM_STEPS), size)
             cell += gate * np.uint8(APM_STEPS)
-            cell += lo
-            low, final = maps.take(cell), maps[1:].take(cell)
+            cell += lo.astype(np.intp)
+            low, final = picked(maps, cell), picked(maps[1:], cell)
             final -= low
             final *= part
             final += low

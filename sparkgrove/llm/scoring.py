@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import coder
-from .common import lower_words, mix64, n_tasks, slices, text_or_empty, written
+from .common import lower_words, mix64, n_tasks, picked, slices, text_or_empty, written
 
 ORDERS, LOG_SLOTS, HEAD, MIX_WORDS, DISCOUNT = 6, 20, 1 << 18, 30_000, 0.75
 TOP, MARKERS, BACKOFF = 1 << 15, 32, 300.0
@@ -76,8 +76,10 @@ def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ctx[k] = mix64(tail + np.uint64(k << 60))
     # the word so far: a running hash, restarted at each word
     run = np.zeros(len(sym), np.uint64)
+    starts, left = at[:-1], size
     for p in range(1, int(size.max()) if len(size) else 0):
-        mine = np.flatnonzero(pos == p) if p < 40 else None
+        starts, left = starts[left > p], left[left > p]
+        mine = starts + p if p < 40 else None
         if mine is None:
             rest = np.flatnonzero(pos >= p)  # few words are so long; one by one
             for i in rest.tolist():
@@ -178,9 +180,9 @@ class Mixer:
         gate = np.zeros(len(node), np.int64)
         for k in range(ORDERS):
             at = slots(ctx[k], node)
-            x.append(self.stretch[k].take(at).astype(np.float32))
+            x.append(picked(self.stretch[k], at).astype(np.float32))
             x[-1] /= 2048
-            sure.append(self.sure[k].take(at))
+            sure.append(picked(self.sure[k], at))
             if k:
                 gate[sure[k] > 0] = k
         return x, sure, gate
@@ -197,14 +199,14 @@ class Mixer:
             cells = [gate + (sure[k] + np.uint8(k * (len(GATES) + 1))) for k in range(ORDERS)]
             dot = np.zeros(len(sym), np.float32)
             for k in range(ORDERS):
-                dot += weights.take(cells[k]) * x[k]
+                dot += picked(weights, cells[k]) * x[k]
             np.clip(dot, -7.9, 7.9, out=dot)
             p = 1 / (1 + np.exp(-dot))
             place = (dot + 8) * np.float32((APM_STEPS - 1) / 16)
             lo = place.astype(np.int64)
             part = np.subtract(place, lo, dtype=np.float32)
             lo += row
-            refined = flat.take(lo) * (1 - part) + flat[1:].take(lo) * part
+            refined = picked(flat, lo) * (1 - part) + picked(flat[1:], lo) * part
             final = np.clip(np.float32(0.5) * p + np.float32(0.5) * refined, 1e-6, 1 - 1e-6)
             total += np.log2(np.where(bit > 0, final, 1 - final))
             if rate is not None:

@@ -722,7 +722,7 @@ query("partition_rows", f"SELECT CASE WHEN l_quantity < 20 THEN 1 WHEN l_tax IS
 def _leaf_lookup(spark, d):
     m = fixed_model()
     leaves = m.node_table(spark).where("tree = 0 AND left < 0").select("node", F.col("leaf")[0].alias("value"))
-    return m.predict_leaf(_fixed_rows(spark, d)).withColumn("node", F.col("leaf")[0]).join(leaves, "node").select("l_orderkey", "l_partkey", "value")
+    return m.predict_leaf(_fixed_rows(spark, d)).withColumn("node", F.col("leaf")[0]).join(F.broadcast(leaves), "node").select("l_orderkey", "l_partkey", "value")  # a few leaves; by hash, their rows would meet in as many tasks
 
 
 query("model_roundtrip", ORACLE_SQL["predict_margin"])(

@@ -49,9 +49,10 @@ def category_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def recode(df: DataFrame, name: str, dictionary: DataFrame) -> DataFrame:
-    """The column's values as codes of the dictionary; unseen categories raise."""
+    """The column's values as codes of the dictionary, which is sent to every task (dealt by
+    value, the rows of a category would be one task); unseen categories raise."""
     d = dictionary.select(F.col("category").alias(name), F.col("code").alias("__code"))
-    out = df.join(d, name, "left")
+    out = df.join(F.broadcast(d), name, "left")
     unseen = F.col(name).isNotNull() & F.col("__code").isNull()
     return out.withColumn(name, F.when(unseen, F.raise_error(F.concat(F.lit(f"unseen category of {name}: "), F.col(name).cast("string"))).cast("double")).otherwise(F.col("__code"))).drop("__code")
 
@@ -61,10 +62,9 @@ def prepare(df: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, FeatureSpec]:
     cats, out = dict(spec.categories), df
     for f in spec.features:
         if dict(df.dtypes)[f] == "string":
-            table = category_table(df, f) if f not in cats else df.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(cats[f])], "category string, code double")
             if f not in cats:
-                cats[f] = [r["category"] for r in table.orderBy("code").collect()]  # a dictionary, not rows
-            out = recode(out, f, table)
+                cats[f] = [r["category"] for r in category_table(df, f).orderBy("code").collect()]  # a dictionary, not rows
+            out = recode(out, f, df.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(cats[f])], "category string, code double"))
     cols = [clean(F.col(f), spec.missing).alias(f) for f in spec.features]
     given = {"label": spec.label, "weight": spec.weight, "qid": spec.qid, "base_margin": spec.base_margin, "label_lower": spec.label_lower, "label_upper": spec.label_upper, "row_id": spec.row_id}
     for k, c in given.items():

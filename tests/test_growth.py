@@ -15,3 +15,13 @@ def plan(df):
 def test_leaves_are_sent_to_every_task(spark):
     got = plan(catalogue.QUERIES["leaf_lookup"](spark, SF))
     assert "BroadcastHashJoin" in got and "hashpartitioning" not in got
+
+
+def test_categories_are_sent_to_every_task(spark):
+    df = spark.createDataFrame([("b", 1.0), ("a", 0.0), (None, 1.0), ("b", 0.0)], "c string, label double")
+    table, spec = frames.prepare(df, frames.FeatureSpec(("c",)))
+    assert spec.categories == {"c": ["a", "b"]}
+    assert "hashpartitioning" not in plan(table)
+    assert sorted((r["c"] is not None, r["c"] or 0.0) for r in table.collect()) == [(False, 0.0), (True, 0.0), (True, 1.0), (True, 1.0)]
+    empty, spec = frames.prepare(df.withColumn("c", F.lit(None).cast("string")), frames.FeatureSpec(("c",)))
+    assert spec.categories == {"c": []} and empty.where("c IS NULL").count() == 4

@@ -21,7 +21,7 @@ from .operators import objectives as O
 from .operators import ranges, sampling, splits, stats
 from .plans import linear as L
 from .plans.model import Model, Node, Tree
-from .plans.train import cv, train
+from .plans.train import EarlyStopping, cv, train
 from .plans.update import prune, refresh
 from .sources import frames
 
@@ -499,11 +499,11 @@ def _history(spark, r: dict) -> DataFrame:
     return spark.createDataFrame([(s, k, i, round(float(x), 6)) for s, ms in r.items() for k, v in ms.items() for i, x in enumerate(v)], "data string, metric string, round int, value double")
 
 
-def _trained(params, rounds, rows, features=FEATURES, **kw):
+def _trained(params, rounds, rows, features=FEATURES, callbacks=list, **kw):
     def run(spark, d):
         r: dict = {}
         df = rows(spark, d)
-        train(params, df, rounds, features=features, evals=[(df, "train")], evals_result=r, **kw)
+        train(params, df, rounds, features=features, evals=[(df, "train")], evals_result=r, callbacks=callbacks(), **kw)
         return _history(spark, r)
 
     return run
@@ -524,7 +524,7 @@ QUERIES |= {
     "train_vector_leaf": _trained({"objective": "multi:softprob", "num_class": 3, "multi_strategy": "multi_output_tree", "max_depth": 2}, 2, lambda s, d: _lines(s, d).withColumn("label", F.pmod(F.col("l_quantity").cast("int"), F.lit(3)).cast("double"))),
     "train_quantile": _trained({"objective": "reg:quantileerror", "quantile_alpha": [0.2, 0.8], "max_depth": 2}, 2, lambda s, d: _lines(s, d).withColumn("label", F.col("l_quantity") * F.col("l_discount"))),
     "train_aft": _trained({"objective": "survival:aft", "aft_loss_distribution": "logistic", "max_depth": 2}, 2, lambda s, d: _aft_rows(s, d), features=["f0", "f1"]),
-    "train_early_stop": _trained({"objective": "binary:logistic", "max_depth": 2, "learning_rate": 1.0}, 8, _lines, early_stopping_rounds=2),
+    "train_early_stop": _trained({"objective": "binary:logistic", "max_depth": 2, "learning_rate": 1.0}, 8, _lines, callbacks=lambda: [EarlyStopping(2, places=6)]),
 }
 
 

@@ -1,5 +1,6 @@
 """Steps whose tasks must not grow with the number of rows, and the results they keep."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sparkgrove import catalogue
@@ -25,3 +26,15 @@ def test_categories_are_sent_to_every_task(spark):
     assert sorted((r["c"] is not None, r["c"] or 0.0) for r in table.collect()) == [(False, 0.0), (True, 0.0), (True, 1.0), (True, 1.0)]
     empty, spec = frames.prepare(df.withColumn("c", F.lit(None).cast("string")), frames.FeatureSpec(("c",)))
     assert spec.categories == {"c": []} and empty.where("c IS NULL").count() == 4
+
+
+def test_early_stop_judges_the_history_it_returns(spark, tmp_path):
+    # gains below the sixth place: the full values go on falling, those of the history do not
+    rows = spark.range(30_000).select((F.col("id") % 30 + 1).cast("double").alias("l_quantity"), F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax"), F.lit(1).alias("l_partkey"), F.floor(F.col("id") / 30).alias("nth"))
+    rows.withColumn("l_returnflag", F.when(F.col("nth") < 300 + F.col("l_quantity") % 3, "R").otherwise("A")).drop("nth").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["train_early_stop"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(catalogue.ORACLE_SQL["train_early_stop"]).fetchall()
+    assert len(want) < 8
+    assert sorted(tuple(r) for r in got.select("data", "metric", "round", "value").collect()) == sorted(want)

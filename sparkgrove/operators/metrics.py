@@ -108,6 +108,10 @@ REGISTRY |= {
 }
 
 
+#: metrics to which a row of weight 2 is two equal rows of weight 1
+WEIGHTED = frozenset([*REGISTRY, "quantile", "expectile", "merror", "mlogloss", "auc", "aucpr", "aft-nloglik", "interval-regression-accuracy"])
+
+
 def _alphas(p: dict, key: str) -> list[float]:
     a = p.get(key)
     return sorted(a if isinstance(a, (list, tuple)) else [a])

@@ -43,9 +43,10 @@ def get(name, params: dict | None = None) -> Objective:  # noqa: F821
 
 
 class Objective:
-    """df has label, weight and margin columns m0..m{K-1}; gradients() adds g0.., h0.."""
+    """df has label, weight and margin columns m0..m{K-1}; gradients() adds g0.., h0..
+    weighted: a row of weight 2 counts as two equal rows of weight 1."""
 
-    metric, check, stump = "rmse", None, False
+    metric, check, stump, weighted = "rmse", None, False, True
 
     def __init__(self, params: dict, name: str = ""):
         self.p, self.name = params, name
@@ -155,7 +156,7 @@ class LogitRaw(_Logistic):
 
 @register("binary:hinge")
 class Hinge(Objective):
-    metric, stump = "error", True
+    metric, stump, weighted = "error", True, False  # the smallest h is not weighted
 
     def row(self, m, y, w):
         t = 2 * y - 1
@@ -332,7 +333,7 @@ class Tweedie(_LogLink):
 class Cox(_LogLink):
     """Breslow risk sets: the denominator moves with |label|, event sums row by row."""
 
-    metric, stump = "cox-nloglik", True
+    metric, stump, weighted = "cox-nloglik", True, False
 
     def gradients(self, df):
         event = F.col("label") > 0
@@ -446,7 +447,7 @@ class _Rank(Objective):
     """Pairs of a query's documents: the top k by score against all below them, or each
     document against sampled others. Weights are per query."""
 
-    kind, stump = "pairwise", True
+    kind, stump, weighted = "pairwise", True, False
 
     @property
     def k(self) -> int:
@@ -553,6 +554,8 @@ class RankPairwise(_Rank):
 class Custom(Objective):
     """A user's function of Columns (margins, label, weight) -> list of (g, h)."""
 
+    weighted = False
+
     def __init__(self, params, fn):
         super().__init__(params, getattr(fn, "__name__", "custom"))
         self.fn = fn

@@ -20,6 +20,7 @@ from .linear import linear_round
 from .model import Model, Tree
 
 CHECKPOINT_ROUNDS = 10
+COUNTED_SHARE = 4  # rows a distinct row stands for, at least, where rows are counted
 EXACT_VALUES = 4_000_000  # distinct values of all features that tree_method exact takes
 
 
@@ -110,6 +111,24 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(max(cores, parts["parts"]), "row_id")
 
 
+def counted(table: DataFrame) -> DataFrame:
+    """Rows that agree in everything but row_id as one row of their summed weight, if they
+    are at most one in COUNTED_SHARE of all; else the table as it is. Such rows keep equal
+    margins, so sums of gradients and losses stay what they were."""
+    keys = [c for c in table.columns if c not in ("row_id", "weight")]
+    seen = table.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64(*keys, "weight")).alias("kinds")).first()  # an estimate, for the choice of the plan alone
+    if seen["kinds"] * COUNTED_SHARE > seen["rows"]:
+        return table
+    rows = table.groupBy(*keys, F.col("weight").alias("__weight")).agg(F.count("*").alias("__rows"), F.min("row_id").alias("row_id"))
+    return rows.withColumn("weight", F.col("__weight") * F.col("__rows")).select(*table.columns)
+
+
+def _countable(p: dict, obj, names: list, custom_metric, table: DataFrame) -> bool:
+    """Whether a row's weight may stand for several rows: no rule looks at single rows."""
+    whole = all(isinstance(n, str) and n.split("@")[0].rstrip("-") in metrics.WEIGHTED for n in names)
+    return obj.weighted and whole and custom_metric is None and p["subsample"] >= 1 and p["process_type"] != "update" and "qid" not in table.columns
+
+
 def _metric_names(p: dict, obj) -> list:
     names = p["eval_metric"] or []
     names = list(names) if isinstance(names, (list, tuple)) else [names]
@@ -139,7 +158,10 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
 
         spec = replace(spec, categories=init_model.categories)
     table, spec = prepare(df, spec)
-    table = table.persist()
+    objective = objectives.get(p["objective"], p)
+    names = _metric_names(p, objective)
+    shrink = counted if _countable(p, objective, names, custom_metric, table) else lambda d: d
+    table = shrink(table).persist()
     held = [table]
     try:
         dealt = spread(table)
@@ -149,9 +171,14 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
         validate(table)
         if len(held) > 1:  # dealt out by now
             held.pop(0).unpersist()
-        objective = objectives.get(p["objective"], p)
         objective.validate(table) if "label" in table.columns else None
-        sets = [(prepare(d, spec)[0] if d is not table else table, name) for (d, name) in (evals or [])]
+        sets = []
+        for d, name in evals or []:
+            part = prepare(d, spec)[0] if d is not df else table
+            few = shrink(part) if d is not df else part
+            if few is not part:  # as few rows as kinds
+                held.append(few.persist())
+            sets.append((few, name))
         if p["process_type"] == "update":
             from .update import refresh_model
 
@@ -173,7 +200,6 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
         if early_stopping_rounds:
             calls.append(EarlyStopping(early_stopping_rounds, maximize=maximize))
         history: dict = {}
-        names = _metric_names(p, objective)
         work = model.with_margin(table)
         exact_values, cuts = None, None
         if p["booster"] == "gbtree" and p["tree_method"] != "approx":

@@ -38,3 +38,30 @@ def test_early_stop_judges_the_history_it_returns(spark, tmp_path):
     want = con.sql(catalogue.ORACLE_SQL["train_early_stop"]).fetchall()
     assert len(want) < 8
     assert sorted(tuple(r) for r in got.select("data", "metric", "round", "value").collect()) == sorted(want)
+
+
+def test_equal_rows_are_counted_and_train_the_same_model(spark, monkeypatch):
+    from sparkgrove.plans import train as T
+
+    df = spark.range(6000).select((F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("double")).alias("b"), F.pmod(F.xxhash64(F.col("id") % 700), F.lit(3)).cast("double").alias("label"), (F.col("id") % 2 + 1).cast("double").alias("weight"))
+    seen = []
+
+    def runs(params, **kw):
+        out = []
+        for share in (4, 10**9):
+            monkeypatch.setattr(T, "COUNTED_SHARE", share)
+            r: dict = {}
+            m = T.train(params, df, 2, features=["a", "b"], evals=[(df, "train"), (df.where("a < 3"), "part")], evals_result=r, **kw)
+            out.append(([(n.fidx, n.bin, round(n.cover, 6)) for t in m.trees for n in t.nodes], {k: [round(x, 9) for x in v] for s in r.values() for k, v in s.items()}))
+        assert out[0] == out[1]
+
+    count = T.counted
+    monkeypatch.setattr(T, "counted", lambda d: seen.append(count(d).count()) or count(d))
+    runs({"objective": "multi:softprob", "num_class": 3, "max_depth": 2, "eval_metric": ["mlogloss", "merror", "auc"]})
+    runs({"objective": "reg:absoluteerror", "max_depth": 2, "tree_method": "approx"})
+    runs({"objective": "count:poisson", "booster": "dart", "one_drop": True, "max_depth": 2})
+    assert min(seen) < 700 and max(seen) == 6000
+    seen.clear()
+    runs({"objective": "reg:squarederror", "subsample": 0.5, "max_depth": 2})  # rows are drawn one by one
+    runs({"objective": "reg:squarederror", "max_depth": 2}, custom_metric=lambda d: ("rows", float(d.count())))
+    assert not seen

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EPS, Distribution, arg_max, dcg_discount, dcg_gain, sigmoid, softmax, softplus, total
+from . import sampling
 from .ranges import counted_ties, running
 
 REGISTRY: dict[str, Callable[[dict], Objective]] = {}  # noqa: F821
@@ -475,9 +476,7 @@ class _Rank(Objective):
         if self.p["lambdarank_pair_method"] == "topk":
             p = a.join(b, "qid").where((F.col("rk") <= cut) & (F.col("rk_") > F.col("rk")) & (F.col("label") != F.col("label_")))
         else:
-            p = a.join(b, "qid").where(F.col("label") != F.col("label_"))
-            draw = F.xxhash64("row_id", "row_id_", F.lit(self.p["seed"]))
-            p = p.withColumn("__n", F.row_number().over(Window.partitionBy("qid", "row_id").orderBy(draw))).where(F.col("__n") <= self.k)
+            p = sampling.drawn_pairs(d, b, self.k, self.p["seed"])
         up = F.col("label") > F.col("label_")
         pick = lambda c: (F.when(up, F.col(c)).otherwise(F.col(f"{c}_")), F.when(up, F.col(f"{c}_")).otherwise(F.col(c)))
         (hi, lo), (sh, sl), (rh, rl), (gh, gl), (dh, dl) = (pick(c) for c in ("row_id", "s", "rk", "gain", "disc"))

@@ -65,3 +65,22 @@ def test_equal_rows_are_counted_and_train_the_same_model(spark, monkeypatch):
     runs({"objective": "reg:squarederror", "subsample": 0.5, "max_depth": 2})  # rows are drawn one by one
     runs({"objective": "reg:squarederror", "max_depth": 2}, custom_metric=lambda d: ("rows", float(d.count())))
     assert not seen
+
+
+def test_drawn_pairs_are_the_smallest_hashes_without_a_list_of_pairs(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from sparkgrove.operators import sampling
+
+    monkeypatch.setattr(sampling, "DRAW_CELLS", 64)  # several blocks a query
+    base = spark.range(400).select(F.when(F.col("id") % 40 > 0, F.floor(F.sqrt("id"))).alias("qid"), (F.col("id") * 7919 - 1000).alias("row_id"), F.when(F.col("id") % 11 > 0, (F.col("id") % 3).cast("double")).alias("label"))
+    for kind, seed in (("bigint", 0), ("int", -5), ("bigint", 1 << 40), ("string", 3)):
+        a = base.withColumn("row_id", F.col("row_id").cast(kind))
+        b = a.select("qid", F.col("row_id").alias("row_id_"), F.col("label").alias("label_"))
+        nth = F.row_number().over(Window.partitionBy("qid", "row_id").orderBy(F.xxhash64("row_id", "row_id_", F.lit(seed))))
+        for k in (2, 50):
+            want = a.join(b, "qid").where("label <> label_").withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+            got = sampling.drawn_pairs(a, b, k, seed)
+            assert got.columns == want.columns
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "FlatMapGroupsInArrow" in plan(catalogue.QUERIES["grad_rank_mean"](spark, SF))

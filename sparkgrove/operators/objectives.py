@@ -505,21 +505,20 @@ class _Rank(Objective):
         return p
 
     def gradients(self, df, bias: DataFrame | None = None):
-        p = self.pairs(df, bias)
-        both = p.select("qid", F.col("hi").alias("row_id"), F.col("lam").alias("g"), F.col("hess").alias("h")).unionAll(p.select("qid", F.col("lo").alias("row_id"), (-F.col("lam")).alias("g"), F.col("hess").alias("h")))
-        sums = both.groupBy("qid", "row_id").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-        norm = p.groupBy("qid").agg((2 * F.sum(F.abs("lam"))).alias("lam"))
-        if not self.p["lambdarank_normalization"]:
-            norm = norm.withColumn("norm", F.lit(1.0))
-        elif self.p["lambdarank_pair_method"] == "topk":
-            norm = norm.withColumn("norm", F.when(F.col("lam") > 0, F.log2(1 + F.col("lam")) / F.col("lam")).otherwise(1.0))
-        else:
-            norm = norm.withColumn("norm", F.lit(1.0 / self.k))
+        side = lambda row, lam: F.struct(F.col(row).alias("row_id"), lam.alias("g"))
+        both = self.pairs(df, bias).select("qid", "hess", F.explode(F.array(side("hi", F.col("lam")), side("lo", -F.col("lam")))).alias("x"))  # the pairs are made once
+        sums = both.groupBy("qid", F.col("x.row_id").alias("row_id")).agg(F.sum("x.g").alias("g"), F.sum("hess").alias("h"), F.sum(F.abs("x.g")).alias("lam"))
         groups = df.groupBy("qid").agg(F.first("weight").alias("qw"))
         scale = groups.agg((F.count("*") / F.sum("qw")).alias("ws")).first()["ws"] or 1.0
-        out = df.join(sums, ["qid", "row_id"], "left").join(norm.select("qid", "norm"), "qid", "left")
-        f = F.coalesce("norm", F.lit(1.0)) * F.col("weight") * scale
-        return out.withColumns({"g0": F.coalesce("g", F.lit(0.0)) * f, "h0": F.coalesce("h", F.lit(0.0)) * f}).drop("g", "h", "norm")
+        out = df.join(sums, ["qid", "row_id"], "left")
+        norm = F.lit(1.0)
+        if self.p["lambdarank_normalization"] and self.p["lambdarank_pair_method"] == "topk":
+            out = out.withColumn("lam", F.sum("lam").over(Window.partitionBy("qid")))  # each pair is there from both sides
+            norm = F.when(F.col("lam") > 0, F.log2(1 + F.col("lam")) / F.col("lam")).otherwise(1.0)
+        elif self.p["lambdarank_normalization"]:
+            norm = F.lit(1.0 / self.k)
+        f = norm * F.col("weight") * scale
+        return out.withColumns({"g0": F.coalesce("g", F.lit(0.0)) * f, "h0": F.coalesce("h", F.lit(0.0)) * f}).drop("g", "h", "lam")
 
     def update_bias(self, df: DataFrame, bias: DataFrame | None = None) -> DataFrame:
         """(pos, tp, tm): position propensities after one round of unbiased training."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from .ranges import counted_ties, running
 
 REGISTRY: dict[str, Callable[[dict], Objective]] = {}  # noqa: F821
 FLT_MIN = 1.1754943508222875e-38
+DRIVER_TIMES = 1 << 16  # distinct times up to which the driver sums risk sets
 
 
 def register(*names: str):
@@ -90,6 +92,10 @@ class Objective:
         if bad:
             raise ValueError(f"labels are not valid for {self.name}")
 
+    def fixed(self, df: DataFrame) -> DataFrame:
+        """df with what gradients need that no margin changes, found once for all rounds."""
+        return df
+
     def intercept(self, df: DataFrame) -> list[float]:
         """Margins to start from, one for each output."""
         if self.stump or self.p.get("scale_pos_weight", 1.0) != 1.0:
@@ -340,17 +346,34 @@ class Cox(_LogLink):
         event = F.col("label") > 0
         d = df.withColumns({"__t": F.abs("label"), "__e": F.exp("m0"), "__event": event.cast("double")})
         times = d.groupBy("__t").agg(F.sum("__e").alias("e"), F.sum("__event").alias("k"))
-        # the risk set of a time is what is left then; event sums of the times before it
-        risk = running(times, "__t", ["e"]).select("__t", F.col("c_e").alias("__d"), (F.col("k") / F.col("c_e")).alias("r"), (F.col("k") / F.col("c_e") / F.col("c_e")).alias("s"))
-        past = running(risk, "__t", ["r", "s"], descending=False).select(F.col("__t").alias("__time"), "__d", (F.col("c_r") - F.col("r")).alias("__r"), (F.col("c_s") - F.col("s")).alias("__s"))
-        key = "row_id" if "row_id" in df.columns else "label"
-        d = counted_ties(d, "__t", key, {"__k": F.col("__event")})
+        few = times.limit(DRIVER_TIMES + 1).collect()  # rows that share a time would meet in one task of a join by time
+        if len(few) <= DRIVER_TIMES and all(r["e"] is not None and r["__t"] is not None and r["__t"] == r["__t"] for r in few):
+            past = F.broadcast(self._past_of(df.sparkSession, few))
+        else:
+            # the risk set of a time is what is left then; event sums of the times before it
+            risk = running(times, "__t", ["e"]).select("__t", F.col("c_e").alias("__d"), (F.col("k") / F.col("c_e")).alias("r"), (F.col("k") / F.col("c_e") / F.col("c_e")).alias("s"))
+            past = running(risk, "__t", ["r", "s"], descending=False).select(F.col("__t").alias("__time"), "__d", (F.col("c_r") - F.col("r")).alias("__r"), (F.col("c_s") - F.col("s")).alias("__s"))
+        d = (d if "__ties" in df.columns else self.fixed(d)).withColumn("__k", F.col("__ties"))
         d = d.join(past, F.col("__t").eqNullSafe(F.col("__time")))
         own = F.col("__k") / F.col("__d")
         r, s = F.col("__r") + own, F.col("__s") + own / F.col("__d")
         g = F.col("__e") * r - F.col("__event")
         h = F.col("__e") * r - F.col("__e") * F.col("__e") * s
-        return d.withColumns({"g0": g * F.col("weight"), "h0": h * F.col("weight")}).drop("__t", "__e", "__d", "__r", "__s", "__k", "__event", "__time")
+        return d.withColumns({"g0": g * F.col("weight"), "h0": h * F.col("weight")}).drop("__t", "__e", "__d", "__r", "__s", "__k", "__event", "__time", *([] if "__ties" in df.columns else ["__ties"]))
+
+    def fixed(self, df):
+        """df with the events of a row's time up to and with it, in the order of row ids."""
+        d = df.withColumns({"__tied": F.abs("label"), "__event_here": (F.col("label") > 0).cast("double")})
+        return counted_ties(d, "__tied", "row_id" if "row_id" in df.columns else "label", {"__ties": F.col("__event_here")}).drop("__tied", "__event_here")
+
+    @staticmethod
+    def _past_of(spark, rows: list) -> DataFrame:
+        """The sums of running over few times (t, e, k), on the driver."""
+        rows = sorted(rows, key=lambda r: r["__t"])
+        left = np.cumsum([r["e"] for r in rows][::-1])[::-1]
+        own = [(r["k"] / a, r["k"] / a / a) if a else (math.nan, math.nan) for r, a in zip(rows, left)]
+        sums = np.cumsum(np.array([(0.0, 0.0), *own], float), axis=0)
+        return spark.createDataFrame([(r["__t"], float(a), float(s[0]), float(s[1])) for r, a, s in zip(rows, left, sums)], "__time double, __d double, __r double, __s double")
 
 
 @register("survival:aft")

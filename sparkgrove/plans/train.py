@@ -161,7 +161,7 @@ def train(params: dict, df: DataFrame, num_boost_round: int = 10, spec: FeatureS
     objective = objectives.get(p["objective"], p)
     names = _metric_names(p, objective)
     shrink = counted if _countable(p, objective, names, custom_metric, table) else lambda d: d
-    table = shrink(table).persist()
+    table = objective.fixed(shrink(table)).persist()
     held = [table]
     try:
         dealt = spread(table)

@@ -84,3 +84,20 @@ def test_drawn_pairs_are_the_smallest_hashes_without_a_list_of_pairs(spark, monk
             assert got.columns == want.columns
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "FlatMapGroupsInArrow" in plan(catalogue.QUERIES["grad_rank_mean"](spark, SF))
+
+
+def test_cox_sums_few_times_on_the_driver_and_finds_ties_once(spark, monkeypatch):
+    from sparkgrove.operators import objectives
+
+    df = spark.range(500).select("id", F.col("id").alias("row_id"), ((F.col("id") * 7 % 23 + 1) * F.when(F.col("id") % 3 > 0, 1).otherwise(-1)).cast("double").alias("label"), (F.col("id") % 13 / 7 - 1).alias("m0"), F.lit(2.0).alias("weight"))
+    cox, out = objectives.get("survival:cox"), []
+    for most in (1 << 16, 3):
+        monkeypatch.setattr(objectives, "DRIVER_TIMES", most)
+        for d in (df, cox.fixed(df).persist()):
+            got = cox.gradients(d)
+            assert got.columns == [*d.columns, "g0", "h0"]
+            out.append([(r["id"], round(r["g0"], 9), round(r["h0"], 9)) for r in got.orderBy("id").collect()])
+    assert out[0] == out[1] == out[2] == out[3]
+    monkeypatch.setattr(objectives, "DRIVER_TIMES", 1 << 16)
+    got = plan(cox.gradients(cox.fixed(df).persist()).select("g0"))
+    assert "BroadcastHashJoin" in got.split("InMemoryRelation")[0] and "Window" not in got.split("InMemoryRelation")[0]
